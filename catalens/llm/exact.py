@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalens.llm.runtime import materialise, partitions, text_of
+from catalens.llm.runtime import bisect, materialise, partitions, text_of
 
 #: Sampled rows for each splitter.
 OVERSAMPLE = 12
@@ -47,18 +47,6 @@ def _splitters(docs: DataFrame, doc_id: str, text: str, parts: int) -> list:
     return [keys[i * len(keys) // parts] for i in range(1, parts) if i * len(keys) // parts < len(keys)]
 
 
-def _search(keys, own):
-    """How many of the sorted keys are not above own, by bisection."""
-    steps = F.sequence(F.lit(0), F.lit(32))
-
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.get(keys, mid) <= own
-        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi")))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi")), halve, lambda acc: acc["lo"])
-
-
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row of docs with its group: `doc_id`, `keep_id`, `group_size`, `kept`, `text_sha256`, and the columns in carry."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
@@ -73,7 +61,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     heads = sorted({(a, b) for a, b, _, _ in found})
     cut_heads = F.array(*[F.struct(F.lit(a).alias("lead"), F.lit(b).cast("bigint").alias("hash")) for a, b in heads]) if heads else None
     if found:
-        rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("__part", _search(cuts, own)).drop("__norm")
+        rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("__part", bisect(cuts, own)).drop("__norm")
     else:
         rows = rows.withColumn("__part", F.lit(0))
     rows = rows.repartition(parts, "__part").withColumn("__norm", normalised(F.col("__text"))).drop("__text")

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import exact, mixing, quality, simhash
+from catalens.llm import exact, mixing, quality, simhash, substrings
 from catalens.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": sql.EXACT,
     "op7_quality_rules": sql.QUALITY,
+    "op9_substring_dedup": sql.SUBSTRINGS,
     "op10_source_mixing": sql.MIXING,
 }
 
@@ -52,3 +53,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -70,3 +70,16 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for a row, however often body mentions it."""
     return F.transform(F.array(value), body)[0]
+
+
+def bisect(keys: Column, own: Column) -> Column:
+    """How many of the sorted keys are not above own; null where own is."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get(keys, mid) <= own
+        nearer = F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(nearer)
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi")), halve, lambda acc: acc["lo"])
+    return F.when(own.isNotNull(), found)

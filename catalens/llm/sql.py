@@ -71,3 +71,16 @@ x AS (
   FROM g)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
 """
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM s),
+r AS (SELECT doc_id, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM r),
+k AS (SELECT doc_id, list(p ORDER BY p) AS gone FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS t FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.i = c.p GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
