@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import exact, mixing, packing, quality, simhash, substrings
+from catalens.llm import chat, exact, mixing, packing, quality, simhash, substrings
 from catalens.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
+    "op2_chat_format": sql.CHAT,
     "op6_exact_dedup": sql.EXACT,
     "op7_quality_rules": sql.QUALITY,
     "op9_substring_dedup": sql.SUBSTRINGS,
@@ -64,3 +65,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(added)))

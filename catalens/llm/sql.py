@@ -84,3 +84,19 @@ t AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS t FROM p ANTI JOIN c ON
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, row_number() OVER w AS k, role IS DISTINCT FROM lag(role) OVER w AS opens
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+       sum(length(regexp_replace(text, '([\\#/])', '..', 'g')) + 7
+           + CASE WHEN opens THEN length(regexp_replace(role, '([\\#/:])', '..', 'g')) + 7 ELSE 0 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
