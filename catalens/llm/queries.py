@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, exact, mixing, packing, quality, simhash, substrings
+from catalens.llm import chat, exact, html, mixing, packing, quality, simhash, substrings
 from catalens.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
     return chat.read_back(chat.format_conversations(rows.unionByName(added)))
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
