@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, exact, html, mixing, packing, pii, quality, simhash, substrings
+from catalens.llm import chat, exact, html, lmscore, mixing, packing, pii, quality, simhash, substrings
 from catalens.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("spans", pii.is_base(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.sha2(pii.joined(F.filter("spans", lambda s: s["base"])), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
