@@ -194,6 +194,8 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class _Tree:
+    FIELDS = ("start", "length", "nodes", "bits", "odds")
+
     def __init__(self, counts: list[int]):
         self.start, self.length, self.nodes, self.bits = huffman(counts)
         ones, zeros = np.zeros(len(counts) + 1), np.zeros(len(counts) + 1)
@@ -274,6 +276,20 @@ class Model:
         self.states: list[np.ndarray] = []
         self.weights = [np.tile(np.array([0.5, 0.3, 0.3], np.float32), (TOKEN_GATES, 1)), np.tile(np.array([0.2, 0.3, 0.4, 0.4], np.float32), (BYTE_GATES, 1))]
 
+    def parts(self) -> tuple:
+        """Arrays alone: what a broadcast carries to executors that lack this module."""
+        return self.words, *([getattr(t, f) for f in _Tree.FIELDS] for t in (self.tokens, self.bytes)), self.states, self.weights
+
+    @classmethod
+    def of(cls, parts: tuple) -> Model:
+        model = cls.__new__(cls)
+        model.words, tokens, letters, model.states, model.weights = parts
+        model.escape = len(model.words)
+        model.tokens, model.bytes = (_Tree.__new__(_Tree) for _ in range(2))
+        for tree, fields in ((model.tokens, tokens), (model.bytes, letters)):
+            vars(tree).update(zip(_Tree.FIELDS, fields, strict=True))
+        return model
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.full(len(hashes), self.escape)
@@ -386,7 +402,7 @@ def _unknown(model: Model, words: list[bytes], hashes: np.ndarray) -> tuple[np.n
 
 def _count_contexts(shared):
     def run(batches):
-        model, cache, counts = shared.value, _Hashes(), Model.empty()
+        model, cache, counts = Model.of(shared.value), _Hashes(), Model.empty()
         waiting: list[list[bytes]] = []
 
         def arrays(docs):
@@ -485,7 +501,7 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
 
 def _score(shared):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
-        model, cache, rows = shared.value, _Hashes(), []
+        model, cache, rows = Model.of(shared.value), _Hashes(), []
         docs = sorted(zip(group.column("doc_id").to_pylist(), group.column("text").cast(pa.large_binary()).to_pylist(), strict=True), key=lambda d: (d[0] is None, d[0] or 0, d[1] or b""))
         if not docs:
             return _table([], SCORED)
@@ -547,7 +563,7 @@ def learn(docs: DataFrame, spans: int) -> tuple[DataFrame, Model, int, int]:
     letters = next((np.frombuffer(r["counts"], "<i8") for r in counts.where("span = -1").collect()), np.zeros(257, np.int64))
     model = Model(words, often, max(1, total - int(often.sum())), letters)
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())
     parts = docs.mapInArrow(_count_contexts(shared), PARTS_SQL).repartition(partitions(spark), "name", "part").mapInArrow(_sum_parts, PARTS_SQL).collect()
     states = [np.zeros(1 << b, np.int8) for b in (*TOKEN_BITS, *BYTE_BITS)]
     for r in parts:
@@ -570,7 +586,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes, spans = max(1, min(2 * parts, size // 1000 + 1), size // GROUP_BYTES), max(1, min(parts, size // 1000 + 1), size // (6 * RANGE_TOKENS))
     counts, model, total, distinct = learn(docs, spans)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())
     grouped = docs.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).repartition(parts, "home")
     asked = grouped.groupBy("home").applyInArrow(_ask(spans), "home int, span int, hashes binary")
     told = asked.groupBy("span").cogroup(counts.where("span >= 0").groupBy("span")).applyInArrow(_tell, "home int, span int, counts binary")
