@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalens.llm.components import connected_components
-from catalens.llm.runtime import materialise
+from catalens.llm.runtime import materialise, partitions
 
 SHINGLE = 3
 SEED = 42
@@ -73,9 +73,11 @@ def links(prints: DataFrame) -> DataFrame:
     two = F.array(*[F.lit(x).cast("bigint") for x in [*flips, *((1 << i) | (1 << j) for i, j in combinations(range(32), 2))]])
 
     # Each half with at most one bit changed; shift is where the half lies, moved counts the bits changed so far.
-    halves = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(32))).alias("shift")).select("fp", "shift", F.explode(one).alias("flip"))
+    parts = partitions(prints.sparkSession)
+    halves = prints.repartition(parts, "fp").select("fp", F.explode(F.array(F.lit(0), F.lit(32))).alias("shift")).select("fp", "shift", F.explode(one).alias("flip"))
     value = F.when(F.col("shift") == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
-    halves = halves.select("fp", "flip", value.bitwiseXOR(F.col("flip")).alias("half"))
+    halves = halves.select("fp", "flip", value.bitwiseXOR(F.col("flip")).alias("half")).repartition(parts, "half")
+    # The count and the rows that it selects read one exchange.
     met = halves.groupBy("half").agg(F.count("*").alias("n"), F.max((F.col("flip") == 0).cast("int")).alias("own")).where("n > 1 AND own = 1")
     live = materialise(halves.join(met, "half", "left_semi"), "half-balls")
 
@@ -91,7 +93,7 @@ def links(prints: DataFrame) -> DataFrame:
         "fp",
         F.col("at").bitwiseXOR(F.when(F.col("low"), F.shiftleft("flip", 32)).otherwise(F.col("flip"))).alias("x"),
         (F.col("moved") + F.bit_count("flip")).alias("moved"),
-    )
+    ).repartition(parts, "x")
     centres = points.groupBy("x").agg(F.min(F.when(F.col("moved") <= 1, F.col("fp"))).alias("centre"), F.min("fp").alias("least"), F.max("fp").alias("most"))
     centres = centres.where("centre IS NOT NULL AND least != most").select("x", "centre")
     pairs = points.join(centres, "x").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
