@@ -14,36 +14,51 @@ one; repeated rows are packed as separate documents; an empty table gives an emp
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalens.llm.runtime import materialise
+from catalens.llm.tokens import Tokens
 
 LENGTH = 4096
-END = 1
-#: Groups of large lengths, and the share of a sequence above which a length is large.
-GROUPS = 48
+#: The id after each document.
+END_ID = np.array(1, "<u4")
+#: Numbers of groups of large lengths, of which the one with the fewest sequences is taken, and the share of a sequence
+#: above which a length is large.
+GROUPS = (16, 24, 48)
 LARGE = 1 / 8
 #: Steps of column generation, each with one more configuration, and the gain below which it ends.
 COLUMNS = 600
 GAIN = 1e-7
 BUCKETS = 256
-#: Distinct words whose ids a task keeps at a time.
-KEPT_WORDS = 1 << 19
+#: Distinct words whose ids a task keeps at a time, and documents that are worked on together.
+KEPT_PARTS, TOGETHER_DOCS = 1 << 19, 3000
 VOCABULARY = "word_bpe_49k.json"
 
 
-class _Ids(dict):
-    """The ids of a chunk without white space, as little-endian bytes. The tokenizer never joins chunks."""
+#: ASCII marks that may end a word: after a letter they are tokens of their own. An apostrophe may begin a contraction.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that the tokenizer gets as one text, with a control character between them to tell them apart, and texts in a call.
+TOGETHER, CALL = 200, 25
+BETWEEN = "\x00"
+
+
+class _Ids:
+    """The ids of chunks without white space, as little-endian bytes. The tokenizer never joins chunks, nor letters with
+    the marks that follow them, and lower-cases all but its special tokens, which begin with <|."""
 
     def __init__(self, path: str | None):
+        # A task has one core; the library would start a thread for each core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if path is None:
@@ -51,43 +66,86 @@ class _Ids(dict):
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: those of its letters, and of the marks at its end."""
+        stems, marks = [], []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem is word or not stem or b"<|" in word or not (97 <= stem[-1] <= 122 or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+                stems.append(word)
+                marks.append(b"")
+            else:
+                stems.append(stem)
+                marks.append(word[len(stem) :])
+        needed = {*stems, *marks}
+        unknown = needed.difference(self.known)
+        if len(self.known) + len(unknown) > KEPT_PARTS:
+            self.known, unknown = {b"": b""}, needed - {b""}
+        self.encode(list(unknown))
+        known = self.known
+        return [known[s] + known[m] if m else known[s] for s, m in zip(stems, marks, strict=True)]
+
+    def encode(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"\0" not in w and b"<|" not in w]
+        if len(self.between) != 1:
+            plain = []
+        alone = set(words).difference(plain)
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        glue = f" {BETWEEN} "
+        for i in range(0, len(groups), CALL):
+            some = groups[i : i + CALL]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([glue.join(w.decode() for w in g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.between[0])
+                if len(cuts) != len(group) - 1:
+                    alone.update(group)
+                    continue
+                data, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+                for w, a, z in zip(group, edges[:-1], edges[1:], strict=True):
+                    self.known[w] = data[4 * a + 4 : 4 * z]
+        for w in alone:
+            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
 
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+def _ids_of(ids: _Ids, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, each with the end token, and how many each has."""
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        # Special tokens stay as they are written: nothing is lower-cased here.
+        words = [(text or b"").split() for text in texts.cast(pa.large_binary()).to_pylist()]
+        own = [np.frombuffer(b"".join(ids.of(w)) + END_ID.tobytes(), "<u4") for w in words]
+        return np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+    tokens = Tokens(texts)
+    known = [*ids.of(tokens.words[:-1]), END_ID.tobytes()]
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    n = sizes[tokens.index]
+    at = np.repeat((np.cumsum(sizes) - sizes)[tokens.index] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(known), "<u4")[at], np.add.reduceat(n, tokens.firsts)
 
 
 def _pieces(path: str | None, length: int, keep_ids: bool):
     def run(batches):
         ids = _Ids(path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                data = ids.of(text or b"") + END.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(data), 4 * length)):
-                    part = data[at : at + 4 * length]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if keep_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
+            for i in range(0, batch.num_rows, TOGETHER_DOCS):
+                part = batch.slice(i, TOGETHER_DOCS)
+                flat, sizes = _ids_of(ids, part.column(1))
+                starts, out = np.cumsum(sizes) - sizes, []
+                for doc_id, first, n in zip(part.column(0).to_pylist(), starts.tolist(), sizes.tolist(), strict=True):
+                    for k, at in enumerate(range(0, n, length)):
+                        own = flat[first + at : first + min(at + length, n)]
+                        out.append((doc_id, k, at, len(own), zlib.crc32(own), own.astype(np.int32) if keep_ids else None))
+                cols = list(zip(*out, strict=True))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                width = 6 if keep_ids else 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:width], kinds[:width], strict=True)], names=names[:width])
 
     return run
 
@@ -196,8 +254,12 @@ class _Plan:
                     self.add(n - rest, self.moved(placed, rest), free)
 
 
-def plan(counts: dict[int, int], room: int = LENGTH, groups: int = GROUPS) -> list[tuple[int, list]]:
+def plan(counts: dict[int, int], room: int = LENGTH, groups: tuple[int, ...] = GROUPS) -> list[tuple[int, list]]:
     """Runs of sequences for documents of these lengths: (how many, placements)."""
+    return min((_plan(counts, room, k) for k in groups), key=lambda runs: sum(n for n, _ in runs))
+
+
+def _plan(counts: dict[int, int], room: int, groups: int) -> list[tuple[int, list]]:
     made = _Plan(counts, room)
     large = [(length, counts[length]) for length in sorted(counts, reverse=True) if length > room * LARGE]
     n = sum(c for _, c in large)
