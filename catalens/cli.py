@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--project", default=".")
     commands = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, **options):
+    def command(name: str, /, **options):
         p = commands.add_parser(name)
         for key, how in options.items():
             named = how.pop("flag", True)
