@@ -35,17 +35,15 @@ def infer(g: Graph, ignored: tuple[str, ...] = ()) -> DataFrame:
     keyed = g.objects.where("kind = 'foreign_key'").select("schema_name", "table_name", F.explode("constraint.columns").alias("column_name"))
     linked = linked.join(explicit, ["id", "to_id"], "left_anti")
     linked = linked.join(keyed, linked["schema_name"].eqNullSafe(keyed["schema_name"]) & (linked["table_name"] == keyed["table_name"]) & (linked["column_name"] == keyed["column_name"]), "left_anti")
-    after = g.edges.agg(F.coalesce(F.max("edge_ord"), F.lit(-1)).alias("top"))
+    top = g.edges.agg(F.coalesce(F.max("edge_ord"), F.lit(-1))).first()[0]
     order = F.row_number().over(W.orderBy("id", "to_id"))
     out = linked.select(
         F.concat(F.lit("inferred:"), "id", F.lit("->"), "to_id").alias("edge_id"), F.lit("inferred_reference").alias("kind"), F.col("id").alias("from_id"), "to_id",
         S.inference_confidence(F.col("column_name")).alias("confidence"),
         F.array(F.struct(F.lit("naming").alias("source"), F.concat("full_name", F.lit(" looks like it references "), "to_name").alias("detail"))).alias("evidence"),
-        F.lit(None).cast("boolean").alias("unresolved"), F.lit("{}").alias("metadata_json"), order.cast("bigint").alias("n"),
+        F.lit(None).cast("boolean").alias("unresolved"), F.lit("{}").alias("metadata_json"), (order + top).cast("bigint").alias("edge_ord"),
     )
-    # One row on the right.
-    placed = out.join(F.broadcast(after), F.lit(True)).withColumn("edge_ord", F.col("n") + F.col("top")).drop("n", "top")
-    return placed.withColumnRenamed("edge_id", "id")
+    return out.withColumnRenamed("edge_id", "id")
 
 
 def with_inferred(g: Graph, ignored: tuple[str, ...] = ()) -> Graph:

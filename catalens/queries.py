@@ -511,8 +511,9 @@ def search_terms(spark, sf_dir):
 @query("SELECT 400::BIGINT AS tables_, 2000::BIGINT AS objects, 1600::BIGINT AS edges, 1200::BIGINT AS nullable")
 def synthetic_catalog_counts(spark, sf_dir):
     g = synthetic(spark, 400, 4)
-    kinds = g.objects.agg(F.count_if(F.col("kind") == "table").alias("tables_"), F.count("*").alias("objects"), F.count_if(F.col("column.nullable")).alias("nullable"))
-    return kinds.join(F.broadcast(g.edges.agg(F.count("*").alias("edges"))), F.lit(True)).select("tables_", "objects", "edges", "nullable")
+    rows = g.objects.select("kind", F.col("column.nullable").alias("nullable")).unionByName(g.edges.select("kind"), allowMissingColumns=True)
+    edges = F.count_if(F.col("kind") == "has_column")
+    return rows.agg(F.count_if(F.col("kind") == "table").alias("tables_"), (F.count("*") - edges).alias("objects"), edges.alias("edges"), F.count_if("nullable").alias("nullable"))
 
 
 @query("SELECT 'content' AS relation, true AS same_after_shuffle, false AS same_after_change")
