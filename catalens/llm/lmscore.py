@@ -23,11 +23,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.runtime import materialise, partitions
+from catalens.llm.tokens import Tokens
 
 #: Documents whose crc32(identifier) has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -39,32 +41,28 @@ TOKEN_BITS, BYTE_BITS = (20, 21), (17, 20, 20)
 HELD = 48
 #: Decisions of a document between refinements of its weights.
 BLOCK = 2048
-GROUP_BYTES, CHUNK_TOKENS, RANGE_TOKENS = 12_000_000, 2_000_000, 4_000_000
-KEPT_TOKENS = 1 << 20
-END = b"\n"
+#: Curvature that a weight has from the start, of odds and of states, which are sixteenths: it keeps first steps short.
+RESERVE = (np.float32(50), np.float32(50 * 256))
+_RESERVES = np.array([RESERVE[0], RESERVE[1], RESERVE[1]], np.float32)
+#: Bytes of text in a group of documents, and tokens that a range of hashes gets.
+GROUP_BYTES, RANGE_TOKENS = 12_000_000, 4_000_000
+#: Rows of a batch, tokens, decisions and spelled words that are worked on at a time.
+ROWS, STEP, FLUSH, KEPT_WORDS = 2500, 8000, 1 << 22, 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_TOKENS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    words = (text or b"").lower().split()
-    words.append(END)
-    return words
-
-
-def _hashed(words: list[bytes], cache: _Hashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def _parts(batch: pa.RecordBatch, training: bool):
+    """(identifiers, texts) of some rows at a time, all or those to learn from."""
+    for i in range(0, batch.num_rows, ROWS):
+        part = batch.slice(i, ROWS)
+        ids = part.column(0).to_pylist()
+        kept = [not (training and held_out(d)) for d in ids]
+        if any(kept):
+            yield [d for d, k in zip(ids, kept, strict=True) if k], part.column(1).filter(pa.array(kept))
 
 
 def _span(hashes: np.ndarray, spans: int) -> np.ndarray:
@@ -84,12 +82,6 @@ def _batch(rows: list[tuple], schema: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], schema=pa.schema(schema))
 
 
-def _texts(batches):
-    """(doc_id, text) of every row."""
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True)
-
-
 # Token counts -------------------------------------------------------------------------------------------------------
 
 COUNTS = [("span", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]
@@ -98,25 +90,14 @@ COUNTS_SQL = "span int, hashes binary, counts binary"
 
 def _count_tokens(spans: int):
     def run(batches):
-        cache, words, letters = _Hashes(), [], np.zeros(257, np.int64)
-
-        def flush():
-            if not words:
-                return
-            hashes = _hashed(words, cache)
-            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            flat = b" ".join(words[i] for i in first)
-            letters[:256] += np.bincount(np.frombuffer(flat, np.uint8), minlength=256)
-            rows = [(k, found[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes()) for k, a, b in _slices(found, spans)]
-            words.clear()
-            yield _batch(rows, COUNTS)
-
-        for doc_id, text in _texts(batches):
-            if not held_out(doc_id):
-                words += tokens_of(text)
-                if len(words) >= CHUNK_TOKENS:
-                    yield from flush()
-        yield from flush()
+        letters = np.zeros(257, np.int64)
+        for batch in batches:
+            for _, texts in _parts(batch, True):
+                tokens = Tokens(texts)
+                letters[:256] += np.bincount(np.frombuffer(b" ".join(tokens.words), np.uint8), minlength=256)
+                order = np.argsort(tokens.hashes)
+                found, n = tokens.hashes[order], tokens.counts()[order]
+                yield _batch([(k, found[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes()) for k, a, b in _slices(found, spans)], COUNTS)
         yield _batch([(-1, b"", letters.astype("<i8").tobytes())], COUNTS)
 
     return run
@@ -194,30 +175,35 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class _Tree:
-    FIELDS = ("start", "length", "nodes", "bits", "odds")
+    FIELDS = ("start", "length", "path", "odds", "marks")
 
     def __init__(self, counts: list[int]):
-        self.start, self.length, self.nodes, self.bits = huffman(counts)
+        self.start, self.length, nodes, bits = huffman(counts)
         ones, zeros = np.zeros(len(counts) + 1), np.zeros(len(counts) + 1)
         weight = np.repeat(np.maximum(1, np.array(counts, float)), self.length)
-        np.add.at(ones, self.nodes, weight * self.bits)
-        np.add.at(zeros, self.nodes, weight * (1 - self.bits.astype(float)))
+        np.add.at(ones, nodes, weight * bits)
+        np.add.at(zeros, nodes, weight * (1 - bits.astype(float)))
         self.odds = np.log((ones + 0.5) / (zeros + 0.5)).astype(np.float32)
-
-    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions of each symbol, and the node and bit of every decision."""
+        deep = np.arange(len(nodes)) - np.repeat(np.cumsum(self.length) - self.length, self.length) >= 4
+        #: Decisions of all paths: the node, whether it lies deep, the bit.
+        self.path = (nodes << 2 | deep << 1 | bits).astype(np.int32)
+        marks = np.arange(len(counts) + 1, dtype=np.uint64) * _A
+        self.marks = (marks >> np.uint64(32)).astype(np.uint32)
+
+    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many decisions each symbol has, and all of them."""
         n = self.length[symbols]
-        at = np.repeat(self.start[symbols] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return n, self.nodes[at], self.bits[at]
+        at = np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return n, self.path[at]
 
 
-def _slots(contexts: np.ndarray, n: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
+def _slots(contexts: np.ndarray, n: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
     mixed = np.repeat(contexts, n)
-    mixed ^= nodes.astype(np.uint64) * _B
-    mixed *= _A
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= _C
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    mixed ^= marks
+    mixed *= np.uint32(0x9E3779B1)
+    mixed >>= np.uint32(32 - bits)
+    return mixed
 
 
 def _states(counts: np.ndarray) -> np.ndarray:
@@ -234,7 +220,11 @@ def _token_contexts(hashes: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
     two = np.empty_like(hashes)
     two[1:] = one[:-1]
     two[firsts] = 1
-    return [one * _C + np.uint64(11), (one * _C ^ two) * _B + np.uint64(13)]
+    return [_short(one * _C + np.uint64(11)), _short((one * _C ^ two) * _B + np.uint64(13))]
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -258,7 +248,7 @@ def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
         prefix[at] = (prefix[at - 1] ^ symbols[at - 1].astype(np.uint64)) * _A + np.uint64(7)
     one = before[0] + np.uint64(1)
     three = (before[0] << np.uint64(20) | before[1] << np.uint64(10) | before[2]) * _B + np.uint64(17)
-    return symbols, owner, [one * _C, three, prefix * _C + np.uint64(19)]
+    return symbols, owner, [_short(one * _C), _short(three), _short(prefix * _C + np.uint64(19))]
 
 
 TOKEN_GATES, BYTE_GATES = 8, 4
@@ -274,7 +264,7 @@ class Model:
         self.bytes = _Tree(np.append(letters[:256], max(1, int(letters.sum()) // 8)).tolist())
         self.escape = len(words)
         self.states: list[np.ndarray] = []
-        self.weights = [np.tile(np.array([0.5, 0.3, 0.3], np.float32), (TOKEN_GATES, 1)), np.tile(np.array([0.2, 0.3, 0.4, 0.4], np.float32), (BYTE_GATES, 1))]
+        self.weights = [np.tile(np.array(w, np.float32), (gates, 1)) for w, gates in (([0.5, 0.02, 0.02], TOKEN_GATES), ([0.2, 0.02, 0.025, 0.025], BYTE_GATES))]
 
     def parts(self) -> tuple:
         """Arrays alone: what a broadcast carries to executors that lack this module."""
@@ -297,89 +287,146 @@ class Model:
         return np.where(self.words[at] == hashes, at, self.escape)
 
     def token_slots(self, hashes, firsts, symbols):
-        n, nodes, bits = self.tokens.expand(symbols)
-        return n, nodes, bits, [_slots(c, n, nodes, b) for c, b in zip(_token_contexts(hashes, firsts), TOKEN_BITS, strict=True)]
+        n, path = self.tokens.expand(symbols)
+        marks = self.tokens.marks[path >> 2]
+        return n, path, [_slots(c, n, marks, b) for c, b in zip(_token_contexts(hashes, firsts), TOKEN_BITS, strict=True)]
 
     def byte_slots(self, words):
         symbols, owner, contexts = _bytes_of(words)
-        n, nodes, bits = self.bytes.expand(symbols)
-        return n, nodes, bits, [_slots(c, n, nodes, b) for c, b in zip(contexts, BYTE_BITS, strict=True)], owner
-
-    @staticmethod
-    def empty() -> list[np.ndarray]:
-        return [np.zeros(2 << b, np.int64) for b in (*TOKEN_BITS, *BYTE_BITS)]
-
-    def count(self, into: list[np.ndarray], hashes, firsts, symbols, spelled: list[bytes], times: np.ndarray) -> None:
-        """Add the decisions of documents' tokens, and of spelled words as often as they occur."""
-        _, _, bits, slots = self.token_slots(hashes, firsts, symbols)
-        for k, s in enumerate(slots):
-            into[k] += np.bincount(2 * s + bits, minlength=len(into[k]))
-        for i in range(0, len(spelled), 20_000):
-            n, _, bits, slots, owner = self.byte_slots(spelled[i : i + 20_000])
-            weight = np.repeat(times[i : i + 20_000][owner], n).astype(float)
-            for k, s in enumerate(slots):
-                into[2 + k] += np.bincount(2 * s + bits, weights=weight, minlength=len(into[2 + k])).astype(np.int64)
+        n, path = self.bytes.expand(symbols)
+        marks = self.bytes.marks[path >> 2]
+        return n, path, [_slots(c, n, marks, b) for c, b in zip(contexts, BYTE_BITS, strict=True)], owner
 
     def token_inputs(self, hashes, firsts, symbols):
-        n, nodes, bits, slots = self.token_slots(hashes, firsts, symbols)
-        inputs = [self.tokens.odds[nodes], *(self.states[k][s] for k, s in enumerate(slots))]
-        seen = (inputs[1] != 0) + 2 * (inputs[2] != 0)
-        depth = np.arange(len(nodes)) - np.repeat(np.cumsum(n) - n, n) >= 4
-        x = np.stack([inputs[0], inputs[1].astype(np.float32) / 16, inputs[2].astype(np.float32) / 16])
-        return n, bits, x, seen + 4 * depth
+        """Decisions of each token; the bit, the predictors' odds and the gate of every decision."""
+        n, path, slots = self.token_slots(hashes, firsts, symbols)
+        x = np.empty((3, len(path)), np.float32)
+        np.take(self.tokens.odds, path >> 2, out=x[0])
+        gate = ((path & 2) << 1).astype(np.uint8)
+        for k, s in enumerate(slots):
+            state = self.states[k][s]
+            x[1 + k] = state
+            gate |= (state != 0).view(np.uint8) << np.uint8(k)
+        return n, (path & 1).astype(np.float32), x, gate
 
     def byte_inputs(self, words):
-        n, nodes, bits, slots, owner = self.byte_slots(words)
-        states = [self.states[2 + k][s] for k, s in enumerate(slots)]
-        x = np.stack([self.bytes.odds[nodes], *(s.astype(np.float32) / 16 for s in states)])
-        return n, bits, x, (states[2] != 0) + 2 * (np.abs(states[2].astype(np.int16)) > 32), owner
-
-
-def _bits_of(x: np.ndarray, bit: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cost in nats of each decision, and its error: the bit less the probability of a one."""
-    odds = np.clip(np.einsum("kd,dk->d", x, w), -20, 20)
-    p = 1 / (1 + np.exp(-odds))
-    sure = np.clip(np.where(bit, p, 1 - p), 1e-9, 1)
-    return -np.log(sure), bit - p
-
-
-def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, doc: np.ndarray, docs: int, weights: np.ndarray, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
-    """Cost in nats of each document's decisions, which stand together, and the weights each ends with.
-
-    Weights start the same for all documents and are refined after each BLOCK of a document's decisions.
+        n, path, slots, owner = self.byte_slots(words)
+        x = np.empty((4, len(path)), np.float32)
+        x[0] = self.bytes.odds[path >> 2]
+        for k, s in enumerate(slots):
+            x[1 + k] = self.states[2 + k][s]
+        gate = (x[3] != 0).view(np.uint8) | (np.abs(x[3]) > 32).view(np.uint8) << np.uint8(1)
+        return n, (path & 1).astype(np.float32), x, gate, owner
+
+
+class Counter:
+    """Counts of training decisions in every predictor's slots, gathered until adding them to the tables pays."""
+
+    def __init__(self, model: Model):
+        self.model, self.waiting, self.held = model, [], 0
+        self.tables = [np.zeros(2 << b, np.int64) for b in (*TOKEN_BITS, *BYTE_BITS)]
+        self.spelled: dict[bytes, int] = {}
+
+    def add_tokens(self, hashes: np.ndarray, firsts: np.ndarray, symbols: np.ndarray) -> None:
+        for i in range(0, len(hashes), STEP):
+            # A step begins with the two tokens before it, which give its first contexts and are not counted again.
+            a = max(0, i - 2)
+            inside = firsts[(firsts >= a) & (firsts < i + STEP)] - a
+            n, path, slots = self.model.token_slots(hashes[a : i + STEP], inside, symbols[a : i + STEP])
+            skip = int(n[: i - a].sum())
+            bits = (path[skip:] & 1).astype(np.uint32)
+            self.waiting.append([(s[skip:] << np.uint32(1) | bits) for s in slots])
+            self.held += len(bits)
+            if self.held > FLUSH:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            for k in range(len(TOKEN_BITS)):
+                self.tables[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=len(self.tables[k]))
+        self.waiting, self.held = [], 0
+
+    def add_spelled(self, words: list[bytes], times: np.ndarray) -> None:
+        for w, n in zip(words, times.tolist(), strict=True):
+            self.spelled[w] = self.spelled.get(w, 0) + n
+        if len(self.spelled) > KEPT_WORDS:
+            self.spell()
+
+    def spell(self) -> None:
+        words, times = list(self.spelled), np.array(list(self.spelled.values()), float)
+        self.spelled = {}
+        for i in range(0, len(words), 4000):
+            n, path, slots, owner = self.model.byte_slots(words[i : i + 4000])
+            weight, bits = np.repeat(times[i : i + 4000][owner], n), (path & 1).astype(np.uint32)
+            for k, s in enumerate(slots):
+                at, table = s << np.uint32(1) | bits, self.tables[len(TOKEN_BITS) + k]
+                if len(at) * 8 < len(table):
+                    np.add.at(table, at, weight.astype(np.int64))
+                else:
+                    table += np.bincount(at, weights=weight, minlength=len(table)).astype(np.int64)
+
+    def done(self) -> list[np.ndarray]:
+        self.flush()
+        self.spell()
+        return self.tables
+
+
+def _cost(odds: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nats of each decision, and its error: the bit less the probability of a one. The odds are overwritten."""
+    sign = 1 - 2 * bit
+    np.clip(odds, -18, 18, out=odds)
+    odds *= sign
+    against = np.exp(odds, out=odds)
+    whole = 1 + against
+    against /= whole
+    against *= -sign
+    return np.log(whole, out=whole), against
+
+
+def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    odds = np.take(weights[:, 0], gate)
+    odds *= x[0]
+    for k in range(1, len(x)):
+        part = np.take(weights[:, k], gate)
+        part *= x[k]
+        odds += part
+    return odds
+
+
+def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray, weights: np.ndarray, rate: np.float32 = np.float32(0.3)) -> np.ndarray:
+    """Nats of each document's decisions, which stand together.
+
+    A gate's weights are the same for all documents; what a document adds to them it learns as it is read, from each BLOCK
+    of its decisions for the next.
     """
-    gates, k = weights.shape
-    own = np.tile(weights, (docs, 1))
-    cost = np.zeros(docs)
-    first = np.searchsorted(doc, np.arange(docs))
-    step = (np.arange(len(doc)) - first[doc]) // BLOCK
-    order = np.argsort(step, kind="stable") if len(step) and step[-1:].max() >= 0 and step.max() else slice(None)
-    cuts = np.searchsorted(step[order], np.arange((int(step.max()) if len(step) else -1) + 2))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        at = order[a:b] if not isinstance(order, slice) else slice(a, b)
-        xs, key = x[:, at], doc[at] * gates + gate[at]
-        spent, error = _bits_of(xs, bits[at], own[key])
-        cost += np.bincount(doc[at], weights=spent, minlength=docs)
-        if len(cuts) > 2:
-            n = np.bincount(key, minlength=docs * gates)
-            for j in range(k):
-                own[:, j] += (rate * np.bincount(key, weights=error * xs[j], minlength=docs * gates) / (n + 200)).astype(np.float32)
-    return cost, own.reshape(docs, gates, k)
-
-
-def fit_weights(model: Model, hashes, firsts, symbols, spelled: list[bytes]) -> list[np.ndarray]:
-    """The mixer's weights after it has read these documents, in blocks and twice, as one."""
-    fitted = []
-    _, bits, x, gate = model.token_inputs(hashes, firsts, symbols)
-    pairs = [(x, bits, gate)]
-    if spelled:
-        _, bits, x, gate, _ = model.byte_inputs(spelled)
-        pairs.append((x, bits, gate))
-    for (x, bits, gate), weights in zip(pairs, model.weights, strict=False):
-        for _ in range(2):
-            weights = mix(x, bits, gate, np.zeros(len(bits), np.int64), 1, weights)[1][0]
-        fitted.append(weights)
-    return fitted + model.weights[len(fitted) :]
+    base, cost, first = _weighted(x, weights, gate), np.zeros(len(lengths)), 0
+    for doc, length in enumerate(lengths.tolist()):
+        own = None
+        for a in range(first, first + length, BLOCK):
+            b = min(a + BLOCK, first + length)
+            odds = base[a:b] if own is None else base[a:b] + own @ x[:, a:b]
+            spent, error = _cost(odds, bits[a:b])
+            cost[doc] += spent.sum()
+            if b < first + length:
+                size, xs = np.abs(error), x[:, a:b]
+                push = rate * (xs @ error) / ((xs * xs) @ (size - size * size) + _RESERVES)
+                own = push if own is None else own + push
+        first += length
+    return cost
+
+
+def fit_gates(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, weights: np.ndarray, rate: float = 0.1, rounds: int = 2) -> np.ndarray:
+    """The gates' weights after the mixer has read these decisions, block by block."""
+    weights = weights.copy()
+    for _ in range(rounds):
+        for i in range(0, len(bits), BLOCK):
+            xs, g = x[:, i : i + BLOCK], gate[i : i + BLOCK]
+            error = _cost(_weighted(xs, weights, g), bits[i : i + BLOCK])[1]
+            curve = np.abs(error) * (1 - np.abs(error))
+            for k in range(len(x)):
+                steepness = np.bincount(g, weights=xs[k] * xs[k] * curve, minlength=len(weights)) + RESERVE[k > 0]
+                weights[:, k] += (rate * np.bincount(g, weights=error * xs[k], minlength=len(weights)) / steepness).astype(np.float32)
+    return weights
 
 
 # Context counts -----------------------------------------------------------------------------------------------------
@@ -390,55 +437,48 @@ PARTS_SQL = "name int, part int, data binary"
 PART = 1 << 17
 
 
-def _unknown(model: Model, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Symbols of the words; the distinct words that are spelled, how often, and which of them each spelled token is."""
-    found, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    symbols = model.symbols(found)
-    spelled = np.flatnonzero(symbols == model.escape)
-    number = np.full(len(found), -1)
-    number[spelled] = np.arange(len(spelled))
-    return symbols[back], [words[i] for i in first[spelled]], times[spelled], number[back]
+def _spelled(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each distinct word, and which of them are spelled."""
+    symbols = model.symbols(tokens.hashes)
+    return symbols, np.flatnonzero(symbols == model.escape)
 
 
 def _count_contexts(shared):
     def run(batches):
-        model, cache, counts = Model.of(shared.value), _Hashes(), Model.empty()
-        waiting: list[list[bytes]] = []
-
-        def arrays(docs):
-            words = [w for d in docs for w in d]
-            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-            hashes = _hashed(words, cache)
-            symbols, spelled, times, _ = _unknown(model, words, hashes)
-            return hashes, np.cumsum(sizes) - sizes, symbols, spelled, times
-
-        def add(docs):
-            chunk, size = [], 0
-            for d in docs:
-                chunk.append(d)
-                size += len(d)
-                if size >= CHUNK_TOKENS // 8:
-                    model.count(counts, *arrays(chunk))
-                    chunk, size = [], 0
-            if chunk:
-                model.count(counts, *arrays(chunk))
-
-        for doc_id, text in _texts(batches):
-            if not held_out(doc_id):
-                waiting.append(tokens_of(text))
-                if len(waiting) >= 2000 + HELD:
-                    add(waiting[:-HELD])
-                    del waiting[:-HELD]
-        held = waiting[-HELD:]
-        add(waiting[: -len(held)] if held else [])
-        rows = []
-        if held and any(c.any() for c in counts):
-            model.states = [_states(c) for c in counts]
-            hashes, firsts, symbols, spelled, _ = arrays(held)
-            weights = fit_weights(model, hashes, firsts, symbols, spelled)
-            rows.append((-1, 0, np.concatenate([np.ones(1), *(w.ravel() for w in weights)]).astype("<f8").tobytes()))
-        add(held)
-        for name, c in enumerate(counts):
+        model = Model.of(shared.value)
+        counter, last = Counter(model), None
+
+        def add(tokens: Tokens) -> None:
+            symbols, spelled = _spelled(model, tokens)
+            counter.add_tokens(tokens.hashes[tokens.index], tokens.firsts, symbols[tokens.index])
+            counter.add_spelled([tokens.words[i] for i in spelled], tokens.counts()[spelled])
+
+        for batch in batches:
+            for _, texts in _parts(batch, True):
+                if last is not None:
+                    add(Tokens(last))
+                last = texts
+        rows, weights = [], []
+        if last is not None:
+            # The last documents are scored by what the others have taught, and only then counted.
+            held = last.slice(max(0, len(last) - HELD))
+            if len(last) > len(held):
+                add(Tokens(last.slice(0, len(last) - len(held))))
+            tables = counter.done()
+            if any(t.any() for t in tables):
+                model.states = [_states(t) for t in tables]
+                tokens = Tokens(held)
+                symbols, spelled = _spelled(model, tokens)
+                _, bits, x, gate = model.token_inputs(tokens.hashes[tokens.index], tokens.firsts, symbols[tokens.index])
+                weights.append(fit_gates(x, bits, gate, model.weights[0]))
+                if len(spelled):
+                    _, bits, x, gate, _ = model.byte_inputs([tokens.words[i] for i in spelled])
+                    weights.append(fit_gates(x, bits, gate, model.weights[1]))
+                else:
+                    weights.append(model.weights[1])
+                rows.append((-1, 0, np.concatenate([np.ones(1), *(w.ravel() for w in weights)]).astype("<f8").tobytes()))
+            add(Tokens(held))
+        for name, c in enumerate(counter.done()):
             for part in range(0, len(c), PART):
                 if (own := c[part : part + PART]).any():
                     rows.append((name, part // PART, zlib.compress(_packed(own), 1)))
@@ -475,11 +515,8 @@ SCORED_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 
 def _ask(spans: int):
     def run(group: pa.Table) -> pa.Table:
-        home, cache, found = group.column("home")[0].as_py(), _Hashes(), []
-        for batch in group.select(["doc_id", "text"]).to_batches():
-            words = [w for _, text in _texts([batch]) for w in tokens_of(text)]
-            found.append(np.unique(_hashed(words, cache)))
-        hashes = np.unique(np.concatenate(found))
+        home = group.column("home")[0].as_py()
+        hashes = np.sort(Tokens(group.column("text").combine_chunks()).hashes)
         return _table([(home, k, hashes[a:b].astype("<u8").tobytes()) for k, a, b in _slices(hashes, spans)], ASKED)
 
     return run
@@ -501,44 +538,36 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
 
 def _score(shared):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
-        model, cache, rows = Model.of(shared.value), _Hashes(), []
-        docs = sorted(zip(group.column("doc_id").to_pylist(), group.column("text").cast(pa.large_binary()).to_pylist(), strict=True), key=lambda d: (d[0] is None, d[0] or 0, d[1] or b""))
-        if not docs:
+        if not group.num_rows:
             return _table([], SCORED)
-        words = [tokens_of(text) for _, text in docs]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = [w for d in words for w in d]
-        hashes = _hashed(flat, cache)
-        symbols, spelled, _, number = _unknown(model, flat, hashes)
+        model, tokens = Model.of(shared.value), Tokens(group.column("text").combine_chunks())
+        symbols, spelled = _spelled(model, tokens)
         # The counts of the group's distinct tokens: spans are in the order of hashes.
         order = np.argsort(told.column("span").to_numpy(), kind="stable")
         blobs = told.column("counts").to_pylist()
-        counts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(blobs[i], "<u4") for i in order)]).astype(np.int64)
-        count = counts[np.searchsorted(np.unique(hashes), hashes)]
-        spelling = np.zeros(len(spelled) + 1)
-        for i in range(0, len(spelled), 5000):
-            part = spelled[i : i + 5000]
-            n, bits, x, gate, owner = model.byte_inputs(part)
-            spent, _ = _bits_of(x, bits, model.weights[1][gate])
-            spelling[i : i + len(part)] = np.bincount(np.repeat(owner, n), weights=spent, minlength=len(part))
-        firsts = np.cumsum(sizes) - sizes
-        i = 0
-        while i < len(docs):
-            j = i + 1
-            while j < len(docs) and firsts[j] + sizes[j] - firsts[i] <= 24_000:
-                j += 1
+        counts = np.zeros(len(tokens.words), np.int64)
+        counts[np.argsort(tokens.hashes)] = np.concatenate([np.frombuffer(blobs[i], "<u4") for i in order])
+        # What a word costs besides its place in the token tree: nothing, or its spelling.
+        spelling = np.zeros(len(tokens.words))
+        for i in range(0, len(spelled), 1500):
+            part = spelled[i : i + 1500]
+            n, bits, x, gate, owner = model.byte_inputs([tokens.words[j] for j in part])
+            spent, _ = _cost(_weighted(x, model.weights[1], gate), bits)
+            spelling[part] = np.bincount(np.repeat(owner, n), weights=spent, minlength=len(part))
+        hashes, codes = tokens.hashes[tokens.index], symbols[tokens.index]
+        nats = np.add.reduceat(spelling[tokens.index], tokens.firsts)
+        logs = np.add.reduceat(np.log10(counts + 1.0)[tokens.index], tokens.firsts)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[tokens.index], tokens.firsts)
+        firsts, sizes, i = tokens.firsts, tokens.sizes, 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(firsts, firsts[i] + STEP)) - 1)
             a, b = firsts[i], firsts[j - 1] + sizes[j - 1]
-            n, bits, x, gate = model.token_inputs(hashes[a:b], firsts[i:j] - a, symbols[a:b])
-            doc = np.repeat(np.repeat(np.arange(j - i), sizes[i:j]), n)
-            cost, _ = mix(x, bits, gate, doc, j - i, model.weights[0])
-            logs = np.log10(count[a:b] + 1.0)
-            for d in range(j - i):
-                s, e = firsts[i + d], firsts[i + d] + sizes[i + d]
-                nats = cost[d] + spelling[number[s:e]].sum()
-                doc_id, text = docs[i + d]
-                rows.append((doc_id, held_out(doc_id), int(sizes[i + d]), int((count[s:e] > 0).sum()), float(logs[s - a : e - a].sum()), float(-nats / np.log(10)), len(text or b"")))
+            n, bits, x, gate = model.token_inputs(hashes[a:b], firsts[i:j] - a, codes[a:b])
+            nats[i:j] += mix(x, bits, gate, np.add.reduceat(n, firsts[i:j] - a), model.weights[0])
             i = j
-        return _table(rows, SCORED)
+        ids = group.column("doc_id").to_pylist()
+        bytes_ = pc.fill_null(pc.binary_length(group.column("text")), 0).to_pylist()
+        return _table(list(zip(ids, map(held_out, ids), sizes.tolist(), known.tolist(), logs.tolist(), (-nats / np.log(10)).tolist(), bytes_, strict=True)), SCORED)
 
     return run
 
