@@ -6,8 +6,8 @@ diagonal Hessian are distributed sums over documents, which for these constraint
 Newton steps on them give the exponential tilt exp(multiplier) of the source's documents.
 
 Rates become copies by systematic rounding down the documents of a source in order of size, which leaves an error below
-the largest document; small documents then move by one copy until what is left is below the next document's size. Ranks
-come from counts of (source, size, bucket) cells, so no source is ever sorted in one task.
+the largest document; small documents then move by one copy until what is left is below the next document's size, and one
+more whose size is nearest to it where that helps. Ranks come from counts of (source, size, bucket) cells, so no source is ever sorted in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; sources without words have
 target 0; repeated rows are separate documents; an empty table gives an empty result; other columns are not read.
@@ -99,6 +99,13 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     before = F.coalesce(F.sum(F.col("can") * F.col("size")).over(by_source.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     moved = F.greatest(F.lit(0), F.least(F.col("can"), F.floor((F.abs("missing") - before) / F.greatest(F.col("size"), F.lit(1))))).cast("bigint")
     ranked = ranked.withColumn("moved", moved)
+    # One document more moves where that comes nearer: the one whose size is nearest to what is left.
+    rest = F.abs("missing") - F.sum(F.col("moved") * F.col("size")).over(by_source)
+    ranked = ranked.withColumn("rest", rest)
+    nearest = F.min(F.when(F.col("can") > F.col("moved"), F.struct(F.abs(F.col("rest") - F.col("size")).alias("gap"), "size"))).over(by_source)
+    ranked = ranked.withColumn("nearest", nearest)
+    one_more = (F.col("nearest.size") == F.col("size")) & (F.col("nearest.gap") < F.col("rest"))
+    ranked = ranked.withColumn("moved", F.col("moved") + F.when(one_more, 1).otherwise(0))
 
     in_size = W.partitionBy(*KEY, "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("cell_first", F.coalesce(F.sum("n").over(in_size), F.lit(0))).drop("n")

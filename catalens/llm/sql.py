@@ -65,10 +65,15 @@ c AS (
   SELECT *, size > 0 AND CASE WHEN missing > 0 THEN extra = 0 AND whole < 3 ELSE extra = 1 END AS can FROM m),
 g AS (
   SELECT *, sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY size, k ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+h AS (SELECT *, can AND upto <= abs(missing) AS moved FROM g),
+i AS (SELECT *, abs(missing) - coalesce(sum(CASE WHEN moved THEN size END) OVER (PARTITION BY source), 0) AS rest FROM h),
+j AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN can AND NOT moved THEN 0 ELSE 1 END, abs(rest - size), size, k) = 1
+            AND can AND NOT moved AND abs(rest - size) < rest AS last_one FROM i),
 x AS (
   SELECT doc_id, size::BIGINT AS size, source_size, target,
-         (whole + extra + CASE WHEN can AND upto <= abs(missing) THEN CASE WHEN missing > 0 THEN 1 ELSE -1 END ELSE 0 END)::BIGINT AS copies
-  FROM g)
+         (whole + extra + CASE WHEN moved OR last_one THEN CASE WHEN missing > 0 THEN 1 ELSE -1 END ELSE 0 END)::BIGINT AS copies
+  FROM j)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
 """
 

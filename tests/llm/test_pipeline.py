@@ -57,7 +57,8 @@ def test_stages_equal_brute_force(spark):
     plan = mixing.mix(mixing.sized(materialise(spark.createDataFrame(states[2], spark.read.parquet(f"{SMALL}/documents.parquet").schema), "kept"))).collect()
     assert copies == Counter({r["doc_id"]: r["copies"] for r in plan if r["copies"]})
     for r in plan:
-        assert abs(taken[r["source"]] - r["target"]) <= max(60, 0.1 * r["target"])
+        # A source here has a few documents of some hundred words; no single copy more or less comes nearer than half of one.
+        assert abs(taken[r["source"]] - r["target"]) <= max(60, 0.1 * r["target"], max(x["size"] for x in plan if x["source"] == r["source"]) / 2)
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
