@@ -324,7 +324,8 @@ class Counter:
 
     def __init__(self, model: Model):
         self.model, self.waiting, self.held = model, [], 0
-        self.tables = [np.zeros(2 << b, np.int64) for b in (*TOKEN_BITS, *BYTE_BITS)]
+        # Counts of one task: far below 2^31 in a slot.
+        self.tables = [np.zeros(2 << b, np.int32) for b in (*TOKEN_BITS, *BYTE_BITS)]
         self.spelled: dict[bytes, int] = {}
 
     def add_tokens(self, hashes: np.ndarray, firsts: np.ndarray, symbols: np.ndarray) -> None:
@@ -343,7 +344,7 @@ class Counter:
     def flush(self) -> None:
         if self.waiting:
             for k in range(len(TOKEN_BITS)):
-                self.tables[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=len(self.tables[k]))
+                self.tables[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=len(self.tables[k])).astype(np.int32)
         self.waiting, self.held = [], 0
 
     def add_spelled(self, words: list[bytes], times: np.ndarray) -> None:
@@ -353,17 +354,23 @@ class Counter:
             self.spell()
 
     def spell(self) -> None:
-        words, times = list(self.spelled), np.array(list(self.spelled.values()), float)
+        once = [w for w, n in self.spelled.items() if n == 1]
+        often = [(w, n) for w, n in self.spelled.items() if n > 1]
         self.spelled = {}
-        for i in range(0, len(words), 4000):
-            n, path, slots, owner = self.model.byte_slots(words[i : i + 4000])
-            weight, bits = np.repeat(times[i : i + 4000][owner], n), (path & 1).astype(np.uint32)
-            for k, s in enumerate(slots):
-                at, table = s << np.uint32(1) | bits, self.tables[len(TOKEN_BITS) + k]
-                if len(at) * 8 < len(table):
-                    np.add.at(table, at, weight.astype(np.int64))
-                else:
-                    table += np.bincount(at, weights=weight, minlength=len(table)).astype(np.int64)
+        self._spell(once, None)
+        self._spell([w for w, _ in often], np.array([n for _, n in often], float))
+
+    def _spell(self, words: list[bytes], times: np.ndarray | None) -> None:
+        for i in range(0, len(words), 30_000):
+            parts = []
+            for j in range(i, min(i + 30_000, len(words)), 1500):
+                n, path, slots, owner = self.model.byte_slots(words[j : j + 1500])
+                bits = (path & 1).astype(np.uint32)
+                parts.append(([s << np.uint32(1) | bits for s in slots], None if times is None else np.repeat(times[j : j + 1500][owner], n)))
+            weights = None if times is None else np.concatenate([w for _, w in parts])
+            for k in range(len(BYTE_BITS)):
+                table = self.tables[len(TOKEN_BITS) + k]
+                table += np.bincount(np.concatenate([s[k] for s, _ in parts]), weights=weights, minlength=len(table)).astype(np.int32)
 
     def done(self) -> list[np.ndarray]:
         self.flush()
