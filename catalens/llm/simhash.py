@@ -103,8 +103,13 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest identifier reachable over links."""
     rows = materialise(fingerprints(docs, doc_id, text), "fingerprints")
+    return components_of(rows, links(rows.select("fp").distinct()))
+
+
+def components_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp) whose prints are joined by edges (a, b)."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(links(prints.select("fp")))
+    roots = connected_components(edges)
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -116,12 +121,12 @@ def hex_of(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that name their component, with all columns; rows that share an identifier count as one document."""
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups=near_duplicates) -> DataFrame:
+    """The rows of docs that name their component in groups, with all columns; rows that share an identifier count as one document."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     own = f"__c{names.index(doc_id)}"
-    kept = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = groups(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     stay = plain.join(kept, plain[own].eqNullSafe(kept["__kept"]), "left_semi")
     stay = stay.withColumn("__nth", F.row_number().over(W.partitionBy(own).orderBy(f"__c{names.index(text)}"))).where("__nth = 1")
     return stay.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
