@@ -4,6 +4,9 @@ A page becomes a flat list of text blocks in page order. A block's features are
 its neighbours, and whether the nearest element that says so marks an article or a page's surroundings. A decision tree,
 trained on the small labelled table at the end of this module, keeps or drops each block.
 
+Scripts, styles and text areas hold raw text up to their end tag. Other elements without text for readers are skipped to
+theirs; one that is never closed ends with its parent or at the next block. A head ends at the first content.
+
 Defined results: a null page is the empty page with the empty text; broken markup is read to its end, an unfinished tag at
 the end is dropped; rows are independent, so repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -18,7 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements without text for readers, elements that break lines, and names that mark what an element holds.
-RAW = "script|style|noscript|template|svg|iframe|object|head|select|textarea|button"
+RAW = "script|style|textarea"
+SKIPPED = frozenset("noscript template svg iframe object select button".split())
+#: Skipped elements that a second start tag of theirs ends, what may stand in a head, and what ends no unclosed element.
+FLAT = frozenset("select button iframe noscript".split())
+HEAD = frozenset("title meta link base noscript template".split())
+WITHIN = frozenset("option legend br hr".split())
 BREAKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AROUND = frozenset("nav footer header aside form menu dialog".split())
@@ -28,10 +36,12 @@ INSIDE_NAMES = frozenset("article articlebody entry post story".split())
 INLINE_KEPT = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<shut>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: A slash at a tag's end closes it unless it belongs to a value without quotes.
+_VALUE = re.compile(r"=\s*[^\s\"'=]+/\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -54,6 +64,28 @@ def _mark(tag: str, rest: str) -> int:
     return 0
 
 
+def _empty(rest: str) -> bool:
+    return rest.endswith("/") and not _VALUE.search(rest)
+
+
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Where the skipped elements that are closed begin and end, as places in tokens."""
+    waiting: dict[str, list[int]] = {}
+    ends = {}
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag in SKIPPED:
+            own = waiting.setdefault(tag, [])
+            if m["shut"]:
+                if own:
+                    ends[own.pop()] = i
+            elif not _empty(m["rest"]):
+                if tag in FLAT:
+                    own.clear()
+                own.append(i)
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, mark) of each block with text, in page order."""
     found: list[tuple[str, int, float, int]] = []
@@ -76,13 +108,57 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             if links:
                 linked += len(piece.split())
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
+    tokens = list(_TOKEN.finditer(page))
+    ends, skip_to = _ends(tokens), -1
+    # An element that is skipped but never closed ends with its parent or at the first block; head and title by their own rules.
+    loose, inner, head, title = "", [], False, False
+    for i, m in enumerate(tokens):
+        if i <= skip_to:
+            at = m.end()
+            continue
+        if not loose:
+            piece = page[at : m.start()]
+            if head and not title and piece.strip():
+                head = False
+            if not head:
+                text(piece)
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
+        if loose:
+            if m["shut"]:
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                loose = ""
+            elif tag == loose or (tag in BREAKS and tag not in WITHIN):
+                loose = ""
+            else:
+                if tag not in VOID and not _empty(m["rest"]):
+                    inner.append(tag)
+                continue
+        if tag == "head":
+            head, title = not m["shut"], False
+            continue
+        if head:
+            if m["shut"]:
+                title = title and tag != "title"
+                continue
+            if tag in HEAD:
+                title = tag == "title"
+            else:
+                head = False
+        if tag in SKIPPED:
+            if i in ends:
+                skip_to = ends[i]
+            elif not m["shut"] and not _empty(m["rest"]):
+                loose, inner = tag, []
+            continue
+        if head:
+            continue
         if tag == "a":
             links = max(0, links + (-1 if m["shut"] else 1))
             continue
@@ -102,7 +178,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
                     break
             del marks[depth:]
             links = 0
-    text(page[at:])
+    if not loose and not (head and title):
+        text(page[at:])
     close()
     return found
 
