@@ -3,7 +3,7 @@
 A text is the sequence of its lower-cased tokens and an end. The model codes a token as binary decisions: down a Huffman
 tree over the most frequent training tokens, or past its escape leaf and then byte by byte down a second tree. Several
 predictors, each a hashed context with the counts of training decisions in it, give their odds for a decision; a gate
-picks the weights that combine them, and each document refines its weights as it is read, block after block. The sum of
+picks the weights that combine them, and each document refines the weights of every gate as it is read, block after block. The sum of
 the decisions' bits is the text's probability.
 
 Everything learned covers all training documents. Token counts are exact: chunks send distinct token hashes to ranges of
@@ -39,8 +39,8 @@ LEAVES = 1 << 16
 TOKEN_BITS, BYTE_BITS = (20, 21), (17, 20, 20)
 #: Training documents of a task that the mixer's first weights are fitted on.
 HELD = 48
-#: Decisions of a document between refinements of its weights.
-BLOCK = 2048
+#: Decisions of a document between refinements of its weights, and of the sample between those of the first weights.
+BLOCK, FIT_BLOCK = 256, 2048
 #: Curvature that a weight has from the start, of odds and of states, which are sixteenths: it keeps first steps short.
 RESERVE = (np.float32(50), np.float32(50 * 256))
 _RESERVES = np.array([RESERVE[0], RESERVE[1], RESERVE[1]], np.float32)
@@ -403,32 +403,41 @@ def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarra
 def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray, weights: np.ndarray, rate: np.float32 = np.float32(0.3)) -> np.ndarray:
     """Nats of each document's decisions, which stand together.
 
-    A gate's weights are the same for all documents; what a document adds to them it learns as it is read, from each BLOCK
-    of its decisions for the next.
+    All documents start with the same weights; each refines its own, gate by gate, from each BLOCK of its decisions for the
+    next.
     """
-    base, cost, first = _weighted(x, weights, gate), np.zeros(len(lengths)), 0
-    for doc, length in enumerate(lengths.tolist()):
-        own = None
-        for a in range(first, first + length, BLOCK):
-            b = min(a + BLOCK, first + length)
-            odds = base[a:b] if own is None else base[a:b] + own @ x[:, a:b]
-            spent, error = _cost(odds, bits[a:b])
-            cost[doc] += spent.sum()
-            if b < first + length:
-                size, xs = np.abs(error), x[:, a:b]
-                push = rate * (xs @ error) / ((xs * xs) @ (size - size * size) + _RESERVES)
-                own = push if own is None else own + push
-        first += length
-    return cost
+    docs, gates = len(lengths), len(weights)
+    order = np.argsort(-lengths, kind="stable")
+    sizes, firsts = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    own, cost = np.tile(weights, (docs, 1)), np.zeros(docs)
+    # The longest first: those with a block left are always the first ones.
+    for start in range(0, int(sizes.max(initial=0)), BLOCK):
+        active, going = (int(np.searchsorted(-sizes, -end)) for end in (start, start + BLOCK))
+        n = np.minimum(BLOCK, sizes[:active] - start)
+        who = np.repeat(np.arange(active), n)
+        at = np.repeat(firsts[:active] + start - (np.cumsum(n) - n), n) + np.arange(len(who))
+        xs, key = x[:, at], who * gates + gate[at]
+        spent, error = _cost(_weighted(xs, own, key), bits[at])
+        cost[:active] += np.bincount(who, weights=spent, minlength=active)
+        if going:
+            key, error, xs = key[: going * BLOCK], error[: going * BLOCK], xs[:, : going * BLOCK]
+            size = np.abs(error)
+            curve = size - size * size
+            for k in range(len(x)):
+                steepness = np.bincount(key, weights=xs[k] * xs[k] * curve, minlength=going * gates) + RESERVE[k > 0]
+                own[: going * gates, k] += (rate * np.bincount(key, weights=error * xs[k], minlength=going * gates) / steepness).astype(np.float32)
+    nats = np.empty(docs)
+    nats[order] = cost
+    return nats
 
 
 def fit_gates(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, weights: np.ndarray, rate: float = 0.1, rounds: int = 2) -> np.ndarray:
     """The gates' weights after the mixer has read these decisions, block by block."""
     weights = weights.copy()
     for _ in range(rounds):
-        for i in range(0, len(bits), BLOCK):
-            xs, g = x[:, i : i + BLOCK], gate[i : i + BLOCK]
-            error = _cost(_weighted(xs, weights, g), bits[i : i + BLOCK])[1]
+        for i in range(0, len(bits), FIT_BLOCK):
+            xs, g = x[:, i : i + FIT_BLOCK], gate[i : i + FIT_BLOCK]
+            error = _cost(_weighted(xs, weights, g), bits[i : i + FIT_BLOCK])[1]
             curve = np.abs(error) * (1 - np.abs(error))
             for k in range(len(x)):
                 steepness = np.bincount(g, weights=xs[k] * xs[k] * curve, minlength=len(weights)) + RESERVE[k > 0]
@@ -543,26 +552,35 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
     return _table(rows, TOLD)
 
 
+def _spelling(model: Model, tokens: Tokens, codes: np.ndarray) -> np.ndarray:
+    """Nats of each document's spelled words besides their places in the token tree."""
+    at = np.flatnonzero(codes == model.escape)
+    docs = np.searchsorted(tokens.firsts, at, side="right") - 1
+    nats, words, i = np.zeros(len(tokens.sizes)), tokens.index[at], 0
+    while i < len(at):
+        # Some words, and whole documents.
+        j = int(np.searchsorted(docs, docs[min(i + 1500, len(at)) - 1], side="right"))
+        n, bits, x, gate, owner = model.byte_inputs([tokens.words[w] for w in words[i:j]])
+        found, place = np.unique(docs[i:j], return_inverse=True)
+        lengths = np.bincount(place[owner], weights=n, minlength=len(found)).astype(np.int64)
+        nats[found] += mix(x, bits, gate, lengths, model.weights[1])
+        i = j
+    return nats
+
+
 def _score(shared):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _table([], SCORED)
         model, tokens = Model.of(shared.value), Tokens(group.column("text").combine_chunks())
-        symbols, spelled = _spelled(model, tokens)
+        symbols = model.symbols(tokens.hashes)
         # The counts of the group's distinct tokens: spans are in the order of hashes.
         order = np.argsort(told.column("span").to_numpy(), kind="stable")
         blobs = told.column("counts").to_pylist()
         counts = np.zeros(len(tokens.words), np.int64)
         counts[np.argsort(tokens.hashes)] = np.concatenate([np.frombuffer(blobs[i], "<u4") for i in order])
-        # What a word costs besides its place in the token tree: nothing, or its spelling.
-        spelling = np.zeros(len(tokens.words))
-        for i in range(0, len(spelled), 1500):
-            part = spelled[i : i + 1500]
-            n, bits, x, gate, owner = model.byte_inputs([tokens.words[j] for j in part])
-            spent, _ = _cost(_weighted(x, model.weights[1], gate), bits)
-            spelling[part] = np.bincount(np.repeat(owner, n), weights=spent, minlength=len(part))
         hashes, codes = tokens.hashes[tokens.index], symbols[tokens.index]
-        nats = np.add.reduceat(spelling[tokens.index], tokens.firsts)
+        nats = _spelling(model, tokens, codes)
         logs = np.add.reduceat(np.log10(counts + 1.0)[tokens.index], tokens.firsts)
         known = np.add.reduceat((counts > 0).astype(np.int64)[tokens.index], tokens.firsts)
         firsts, sizes, i = tokens.firsts, tokens.sizes, 0
