@@ -6,8 +6,10 @@ diagonal Hessian are distributed sums over documents, which for these constraint
 Newton steps on them give the exponential tilt exp(multiplier) of the source's documents.
 
 Rates become copies by systematic rounding down the documents of a source in order of size, which leaves an error below
-the largest document; small documents then move by one copy until what is left is below the next document's size, and one
-more whose size is nearest to it where that helps. Ranks come from counts of (source, size, bucket) cells, so no source is ever sorted in one task.
+the largest document. Copies are then added or taken away, of the smallest documents first and as many as MOST allows, until
+what is left is below the next document's size, and one more whose size is nearest to it where that helps. So no source misses
+its target by more than half of the smallest document that could still move that way, unless all stand at MOST copies.
+Ranks come from counts of (source, size, bucket) cells, so no source is ever sorted in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; sources without words have
 target 0; repeated rows are separate documents; an empty table gives an empty result; other columns are not read.
@@ -92,14 +94,14 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     ranked = ranked.withColumn("extras", _extras(F.col("first"), F.col("n"), F.col("part")))
     taken = F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extras"))).over(by_source)
     ranked = ranked.withColumn("missing", F.floor(F.col("target") - taken + 0.5).cast("bigint"))
-    # Documents that can take a copy more, where words are missing, or one less, where there are too many; none of them has over `most`.
+    # Copies that the documents of a size can still take, where words are missing, or give, where there are too many.
     up = F.col("missing") > 0
-    can = F.when(up, F.when(F.col("whole") < most, F.col("n") - F.col("extras")).otherwise(0)).otherwise(F.col("extras"))
+    can = F.when(up, F.when(F.col("whole") < most, F.col("n") * (most - F.col("whole")) - F.col("extras")).otherwise(0)).otherwise(F.col("n") * F.col("whole") + F.col("extras"))
     ranked = ranked.withColumn("can", F.when(F.col("size") > 0, can).otherwise(F.lit(0)).cast("bigint"))
     before = F.coalesce(F.sum(F.col("can") * F.col("size")).over(by_source.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     moved = F.greatest(F.lit(0), F.least(F.col("can"), F.floor((F.abs("missing") - before) / F.greatest(F.col("size"), F.lit(1))))).cast("bigint")
     ranked = ranked.withColumn("moved", moved)
-    # One document more moves where that comes nearer: the one whose size is nearest to what is left.
+    # One copy more moves where that comes nearer: of the size that is nearest to what is left.
     rest = F.abs("missing") - F.sum(F.col("moved") * F.col("size")).over(by_source)
     ranked = ranked.withColumn("rest", rest)
     nearest = F.min(F.when(F.col("can") > F.col("moved"), F.struct(F.abs(F.col("rest") - F.col("size")).alias("gap"), "size"))).over(by_source)
@@ -109,7 +111,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
     in_size = W.partitionBy(*KEY, "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("cell_first", F.coalesce(F.sum("n").over(in_size), F.lit(0))).drop("n")
-    cells = cells.join(ranked.select(*KEY, "size", "source_size", "target", "first", "whole", "part", "missing", "moved"), [*KEY, "size"])
+    cells = cells.join(ranked.select(*KEY, "size", "source_size", "target", "first", "n", "whole", "part", "extras", "missing", "moved"), [*KEY, "size"])
 
     in_cell = W.partitionBy(*KEY, "size", "bucket").orderBy("doc_id")
     rows = rows.withColumn("place", F.row_number().over(in_cell) - 1).join(cells, [*KEY, "size", "bucket"])
@@ -117,11 +119,13 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     extra = _extras(F.col("first") + F.col("place"), F.lit(1), F.col("part"))
     gone_by = _extras(F.col("first"), F.col("place"), F.col("part"))
     rows = rows.withColumn("extra", extra).withColumn("extras_before", gone_by)
-    change = (
-        F.when((F.col("missing") > 0) & (F.col("extra") == 0) & (F.col("whole") < most) & (F.col("place") - F.col("extras_before") < F.col("moved")), 1)
-        .when((F.col("missing") <= 0) & (F.col("extra") == 1) & (F.col("extras_before") < F.col("moved")), -1)
-        .otherwise(0)
-    )
+    # The first copies that move make all documents of the size alike; the rest goes round them by place.
+    up, alike = F.col("missing") > 0, F.when(F.col("missing") > 0, F.col("n") - F.col("extras")).otherwise(F.col("extras"))
+    rank = F.when(up, F.col("place") - F.col("extras_before")).otherwise(F.col("extras_before"))
+    evened = F.when((F.col("extra") == F.when(up, 0).otherwise(1)) & (rank < F.col("moved")), 1).otherwise(0)
+    beyond = F.greatest(F.col("moved") - alike, F.lit(0))
+    round_ = F.floor(beyond / F.col("n")) + (F.col("place") < F.pmod(beyond, F.col("n"))).cast("bigint")
+    change = (evened + round_) * F.when(up, 1).otherwise(-1)
     copies = (F.col("whole") + F.col("extra") + change).cast("bigint")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -61,19 +61,20 @@ k AS (
   FROM d JOIN t USING (source)),
 e AS (SELECT *, (floor((k + 1) * part + 0.5) - floor(k * part + 0.5))::BIGINT AS extra FROM k),
 m AS (SELECT *, floor(target - sum(size * (whole + extra)) OVER (PARTITION BY source) + 0.5)::BIGINT AS missing FROM e),
-c AS (
-  SELECT *, size > 0 AND CASE WHEN missing > 0 THEN extra = 0 AND whole < 3 ELSE extra = 1 END AS can FROM m),
-g AS (
-  SELECT *, sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY size, k ROWS UNBOUNDED PRECEDING) AS upto FROM c),
-h AS (SELECT *, can AND upto <= abs(missing) AS moved FROM g),
-i AS (SELECT *, abs(missing) - coalesce(sum(CASE WHEN moved THEN size END) OVER (PARTITION BY source), 0) AS rest FROM h),
+u AS (
+  SELECT source, size, k, missing, CASE WHEN missing > 0 THEN c ELSE -c END AS turn
+  FROM (SELECT source, size, k, missing, unnest(CASE WHEN missing > 0 THEN range(whole + extra + 1, 4) ELSE range(1, whole + extra + 1) END) AS c
+        FROM m WHERE size > 0 AND (missing <= 0 OR whole < 3))),
+g AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY size, turn, k ROWS UNBOUNDED PRECEDING) <= abs(missing) AS moved FROM u),
+i AS (SELECT *, abs(missing) - coalesce(sum(CASE WHEN moved THEN size END) OVER (PARTITION BY source), 0) AS rest FROM g),
 j AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN can AND NOT moved THEN 0 ELSE 1 END, abs(rest - size), size, k) = 1
-            AND can AND NOT moved AND abs(rest - size) < rest AS last_one FROM i),
+  SELECT source, k, moved OR row_number() OVER (PARTITION BY source ORDER BY moved, abs(rest - size), size, turn, k) = 1
+                             AND abs(rest - size) < rest AS moved FROM i),
+n AS (SELECT source, k, count(*) AS moves FROM j WHERE moved GROUP BY source, k),
 x AS (
   SELECT doc_id, size::BIGINT AS size, source_size, target,
-         (whole + extra + CASE WHEN moved OR last_one THEN CASE WHEN missing > 0 THEN 1 ELSE -1 END ELSE 0 END)::BIGINT AS copies
-  FROM j)
+         (whole + extra + CASE WHEN missing > 0 THEN 1 ELSE -1 END * coalesce(moves, 0))::BIGINT AS copies
+  FROM m LEFT JOIN n ON m.k = n.k AND m.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
 """
 
