@@ -58,6 +58,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_labels(rows: DataFrame, labels: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+    """rows with the columns of labels, which has one row for each key and counts the rows of the key.
+
+    Keys that more than a partition's share of the `total` rows have are fewer than partitions: their labels are broadcast,
+    so that no task gets all rows of a hot key. The others are shuffled.
+    """
+    hot = F.col(count) * partitions(rows.sparkSession) > total
+    few = F.broadcast(labels.where(hot))
+    rest = rows.join(F.broadcast(labels.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(labels.where(~hot), keys))
+
+
+def positions(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place, `__c0` and so on, and the name that each column now has: no name clashes with an operator's own."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))]), {c: f"__c{i}" for i, c in enumerate(df.columns)}
+
+
+def named_again(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

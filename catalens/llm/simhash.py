@@ -9,8 +9,12 @@ A whole ball has 2,081 points. Two fingerprints that differ in three bits agree
 bit, so first only that half is varied, 33 points for each half; the rest of a ball is emitted only where another
 fingerprint was met in the half. Equal fingerprints are one row from the start.
 
-Defined results: a null text is the empty text, with fingerprint zero; a null identifier never names a component; repeated
-rows have one fingerprint and so one component; an empty table gives an empty result; other columns are not read.
+Defined results: a null text is the empty text, with fingerprint zero; a null identifier names a component only where no
+other is in it; repeated rows have one fingerprint and so one component; a very long text is hashed a piece at a time, whole;
+ties in a bit (as many ones as zeros) give 0; an empty table gives an empty result; other columns are not read.
+
+The half-balls tell apart what to look at further while 66 rows a fingerprint are few against 2^32 halves: up to some 10^8
+distinct fingerprints. Beyond that nearly all meet another, and each emits its 3,170 points. Results are the same.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalens.llm.components import connected_components
-from catalens.llm.runtime import materialise, partitions
+from catalens.llm.runtime import join_labels, materialise, named_again, partitions, positions
 
 SHINGLE = 3
 SEED = 42
@@ -103,30 +107,43 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest identifier reachable over links."""
     rows = materialise(fingerprints(docs, doc_id, text), "fingerprints")
-    return components_of(rows, links(rows.select("fp").distinct()))
+    return components_of(rows, links(rows.select("fp").distinct())).select("doc_id", "fp", "component_id")
+
+
+def row_of(doc_id: str, text: str):
+    """What a row is known by: its identifier and 128 bits of its text. Structs of it are in the order of identifiers, null last."""
+    plain = F.col(text).cast("string")
+    return F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(SEED), plain).alias("h2"))
 
 
 def components_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of rows (doc_id, fp) whose prints are joined by edges (a, b)."""
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    """rows (fp, doc_id and others) whose prints are joined by edges (a, b), with `component_id`, the smallest identifier of the
+    component, and `first`, its first row where rows has a `row` by row_of()."""
+    own = F.col("row") if "row" in rows.columns else F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"))
+    prints = rows.groupBy("fp").agg(F.min(own).alias("low"), F.count("*").alias("n"))
     roots = connected_components(edges)
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(lowest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    sizes = named.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("n"))
+    labels = join_labels(named.select("fp", "root", F.col("n").alias("rows")), sizes, ["root"], named.count())
+    labels = labels.select("fp", "first", F.col("first.id").alias("component_id"), F.col("rows").alias("n"))
+    return join_labels(rows, labels, ["fp"], rows.count()).drop("n")
 
 
 def hex_of(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups=near_duplicates) -> DataFrame:
-    """The rows of docs that name their component in groups, with all columns; rows that share an identifier count as one document."""
-    names = docs.columns
-    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    own = f"__c{names.index(doc_id)}"
-    kept = groups(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    stay = plain.join(kept, plain[own].eqNullSafe(kept["__kept"]), "left_semi")
-    stay = stay.withColumn("__nth", F.row_number().over(W.partitionBy(own).orderBy(f"__c{names.index(text)}"))).where("__nth = 1")
-    return stay.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+def keep_one_of_each(docs: DataFrame, firsts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component the first row, with all columns of docs: the smallest identifier, then the smallest digest of the text.
+
+    firsts has that row of each component once, by row_of(). Rows with one identifier, or none, and different texts are
+    different rows; of rows that agree in both, one stays.
+    """
+    plain, at = positions(docs)
+    key = row_of(at[doc_id], at[text])
+    plain = plain.withColumns({f"__{k}": key[k] for k in ("id", "h1", "h2")})
+    stay = plain.join(firsts.select(*[F.col(k).alias(f"__f{k}") for k in ("id", "h1", "h2")]), F.expr("__id <=> __fid AND __h1 = __fh1 AND __h2 = __fh2"), "left_semi")
+    # Only rows that are copies in identifier and text have company here.
+    same = W.partitionBy("__id", "__h1", "__h2").orderBy(F.xxhash64(*[F.col(c) for c, t in plain.dtypes if not t.startswith("map")]))
+    return named_again(stay.withColumn("__nth", F.row_number().over(same)).where("__nth = 1"), docs.columns)

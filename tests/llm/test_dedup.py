@@ -122,12 +122,8 @@ def test_links_of_a_dense_cluster(spark):
     assert {x: got.get(x, x) for x in signed} == want
 
 
-def test_simhash_on_nothing_and_representatives(spark):
+def test_simhash_on_nothing(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
-    table = docs(spark, awkward())
-    kept = simhash.keep_one_of_each(table)
-    assert kept.schema == table.schema
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 4, 7, 9, 10, 11, 12]
 
 
 @pytest.mark.parametrize("seed", range(4))
