@@ -23,8 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_labels(both.where("v > u"), lowest, ["u"], 2 * state[0]).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.distinct(), "large-star")
+        large = join_labels(both.where("v > u"), lowest, ["u"], 2 * state[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         rest = join_labels(large, lowest, ["a"], state[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(rest.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "small-star")

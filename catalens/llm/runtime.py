@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Slim rows, of a few numbers each, that any one task may hold.
+FEW_ROWS = 1 << 20
+
 _LOCAL: dict[str, str] = {}
 
 # Executors need not have the package installed: its functions travel with the task.
@@ -62,8 +65,10 @@ def join_labels(rows: DataFrame, labels: DataFrame, keys: list[str], total: int,
     """rows with the columns of labels, which has one row for each key and counts the rows of the key.
 
     Keys that more than a partition's share of the `total` rows have are fewer than partitions: their labels are broadcast,
-    so that no task gets all rows of a hot key. The others are shuffled.
+    so that no task gets all rows of a hot key. The others are shuffled, as all are where any task could hold all rows.
     """
+    if total <= FEW_ROWS:
+        return rows.join(labels, keys)
     hot = F.col(count) * partitions(rows.sparkSession) > total
     few = F.broadcast(labels.where(hot))
     rest = rows.join(F.broadcast(labels.where(hot).select(*keys)), keys, "left_anti")

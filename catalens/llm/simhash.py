@@ -107,7 +107,7 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest identifier reachable over links."""
     rows = materialise(fingerprints(docs, doc_id, text), "fingerprints")
-    return components_of(rows, links(rows.select("fp").distinct())).select("doc_id", "fp", "component_id")
+    return components_of(rows, connected_components(links(rows.select("fp").distinct()))).select("doc_id", "fp", "component_id")
 
 
 def row_of(doc_id: str, text: str):
@@ -116,12 +116,11 @@ def row_of(doc_id: str, text: str):
     return F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(SEED), plain).alias("h2"))
 
 
-def components_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (fp, doc_id and others) whose prints are joined by edges (a, b), with `component_id`, the smallest identifier of the
+def components_of(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (fp, doc_id and others), of whose prints roots (node, root) names the linked ones' components, with `component_id`, the smallest identifier of the
     component, and `first`, its first row where rows has a `row` by row_of()."""
     own = F.col("row") if "row" in rows.columns else F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"))
     prints = rows.groupBy("fp").agg(F.min(own).alias("low"), F.count("*").alias("n"))
-    roots = connected_components(edges)
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
     sizes = named.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("n"))

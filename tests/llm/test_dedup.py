@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from catalens.llm import components, exact, simhash, substrings
+from catalens.llm import components, exact, runtime, simhash, substrings
 from tests.llm.helpers import WORD, awkward, docs, prose
 
 
@@ -127,7 +127,9 @@ def test_simhash_on_nothing(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_components_equal_union_find(spark, seed):
+def test_components_equal_union_find(spark, seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(runtime, "FEW_ROWS", 0)
     r = random.Random(seed)
     edges = [(r.randrange(-60, 60), r.randrange(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(30)]
     got = {row["node"]: row["root"] for row in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -135,6 +137,14 @@ def test_components_equal_union_find(spark, seed):
     assert all(got.get(n, n) == root for n, root in want.items())
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "FEW_ROWS", 0)
+    rows = spark.createDataFrame([(i, i if i > 60 else 7) for i in range(100)], "i int, k int")
+    labels = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = runtime.join_labels(rows, labels, ["k"], 100).collect()
+    assert sorted((r["i"], r["n"]) for r in got) == [(i, 1 if i > 60 else 61) for i in range(100)]
+
+
 def brute_cut(rows, size=13):
     first = {}
     texts = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
