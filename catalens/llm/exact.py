@@ -1,6 +1,6 @@
 """Exact duplicates by content sort.
 
-Sampled splitters range-partition the normalised texts; within a partition an external sort places equal texts next to
+Sampled splitters, weighed by the bytes of their texts, range-partition the normalised texts; within a partition an external sort places equal texts next to
 each other, and each row is compared in full with its neighbour. The partitioning key is (first bytes, content hash,
 identifier): equal texts are contiguous in it, and a group of copies that is larger than a partition is cut between
 identifiers. Such a group holds a splitter, so its parts, one row for each partition, are joined afterwards.
@@ -11,11 +11,13 @@ identifier one stays; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalens.llm.runtime import bisect, materialise, partitions, text_of
+from catalens.llm.runtime import bisect, let, materialise, partitions, text_of
 
 #: Sampled rows for each splitter.
 OVERSAMPLE = 12
@@ -24,7 +26,8 @@ LEAD = 24
 #: Separator runs that are not yet one space.
 _UNEVEN = " [\\x20\\x09-\\x0D]+|[\\x09-\\x0D][\\x20\\x09-\\x0D]*"
 
-KEY = "struct<lead:string,hash:bigint,late:boolean,id:bigint>"
+#: What a row weighs beside its text.
+ROW_BYTES = 100
 
 
 def normalised(text):
@@ -36,47 +39,58 @@ def _key(norm, doc_id: str):
 
 
 def _splitters(docs: DataFrame, doc_id: str, text: str, parts: int) -> list:
-    """At most parts - 1 keys that cut the sorted rows into about equal runs; from a sample of parts x OVERSAMPLE rows or so."""
+    """At most parts - 1 keys that cut the sorted rows into runs of about equal bytes; from a sample of parts x OVERSAMPLE rows or so."""
     rows = docs.count()
     if parts < 2 or not rows:
         return []
     share = min(1.0, parts * OVERSAMPLE / rows)
     drawn = docs.select(doc_id, text).sample(share, seed=11) if share < 1 else docs.select(doc_id, text)
-    keys = [tuple(r[0]) for r in drawn.select(_key(normalised(text_of(text)), doc_id)).collect()]
-    keys.sort(key=lambda k: (k[0].encode(), k[1], k[2], k[3] or 0))
-    return [keys[i * len(keys) // parts] for i in range(1, parts) if i * len(keys) // parts < len(keys)]
+    drawn = drawn.select(_key(normalised(text_of(text)), doc_id).alias("key"), (F.octet_length(text_of(text)) + ROW_BYTES).alias("weight"))
+    keys = sorted(((tuple(r["key"]), r["weight"]) for r in drawn.collect()), key=lambda k: (k[0][0].encode(), k[0][1], k[0][2], k[0][3] or 0))
+    total, found, so_far = sum(w for _, w in keys), [], 0
+    for key, weight in keys:
+        # A key opens the partition that its bytes reach into.
+        if so_far * parts >= (len(found) + 1) * total:
+            found.append(key)
+        so_far += weight
+    return found
+
+
+def _literal(values: list, schema: str):
+    """An array as one literal, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<struct<{schema}>>")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row of docs with its group: `doc_id`, `keep_id`, `group_size`, `kept`, `text_sha256`, and the columns in carry."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     found = _splitters(docs, doc_id, text, parts)
-    cuts = F.from_json(F.lit(None).cast("string"), f"array<{KEY}>")
-    if found:
-        literal = [F.struct(F.lit(a).alias("lead"), F.lit(b).cast("bigint").alias("hash"), F.lit(c).alias("late"), F.lit(d).cast("bigint").alias("id")) for a, b, c, d in found]
-        cuts = F.array(*literal)
     carried = [F.col(c).alias(f"__row_{i}") for i, c in enumerate(carry or [])]
     rows = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text"), *carried)
     own = _key(F.col("__norm"), "__id")
-    heads = sorted({(a, b) for a, b, _, _ in found})
-    cut_heads = F.array(*[F.struct(F.lit(a).alias("lead"), F.lit(b).cast("bigint").alias("hash")) for a, b in heads]) if heads else None
+    heads = sorted({(a, b) for a, b, _, _ in found}, key=lambda k: (k[0].encode(), k[1]))
     if found:
-        rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("__part", bisect(cuts, own)).drop("__norm")
+        cuts = _literal([{"lead": a, "hash": b, "late": c, "id": d} for a, b, c, d in found], "lead:string,hash:bigint,late:boolean,id:bigint")
+        rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("__part", bisect(cuts, own)).drop("__text")
     else:
-        rows = rows.withColumn("__part", F.lit(0))
-    rows = rows.repartition(parts, "__part").withColumn("__norm", normalised(F.col("__text"))).drop("__text")
+        rows = rows.withColumns({"__norm": normalised(F.col("__text")), "__part": F.lit(0)}).drop("__text")
+    rows = rows.repartitionById(parts, "__part")
 
     order = W.partitionBy("__part").orderBy("__norm", F.col("__id").asc_nulls_last())
     before = F.lag("__norm").over(order)
     rows = rows.withColumn("__first", before.isNull() | (before != F.col("__norm")))
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     head = F.struct(F.substring("__norm", 1, LEAD).alias("lead"), F.xxhash64("__norm").alias("hash"))
+    cut = F.lit(False)
+    if heads:
+        cut_heads = _literal([{"lead": a, "hash": b} for a, b in heads], "lead:string,hash:bigint")
+        cut = let(head, lambda h: F.get(cut_heads, bisect(cut_heads, h) - 1).eqNullSafe(h))
     rows = rows.select(
         "__id", "__part", "__first", *[c for c in rows.columns if c.startswith("__row_")],
         F.sum(F.col("__first").cast("bigint")).over(so_far).alias("__run"),
         F.last(F.when(F.col("__first"), F.struct("__id")), ignorenulls=True).over(so_far)["__id"].alias("__keep"),
         F.sha2("__norm", 256).alias("__sha"),
-        (F.array_contains(cut_heads, head) if heads else F.lit(False)).alias("__cut"),
+        cut.alias("__cut"),
     )
     rows = rows.withColumn("__size", F.count("*").over(W.partitionBy("__part", "__run")))
     rows = materialise(rows, "content-sort")

@@ -41,6 +41,17 @@ def test_exact_groups_equal_brute_force(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_splitters_weigh_bytes(spark):
+    # Half of all bytes lie in the few long texts, which sort last.
+    rows = [(i, f"a{i:04d}" + "x" * 200) for i in range(600)] + [(1000 + i, f"b{i:02d}" + "y" * 9000) for i in range(20)]
+    found = exact._splitters(docs(spark, rows), "doc_id", "text", 8)
+    edges = [("", 0, False, 0), *found, ("~", 0, False, 0)]
+    share = [sum(len(t) for _, t in rows if a[0] <= t[:24] < b[0]) / sum(len(t) for _, t in rows) for a, b in zip(edges, edges[1:])]
+    assert len(found) == 7 and max(share) < 2 / 8
+    plan = exact.exact_groups(docs(spark, rows))
+    assert plan.count() == len(rows)
+
+
 def test_exact_on_nothing_and_all_null(spark):
     assert exact.exact_groups(docs(spark, [])).count() == 0
     got = exact.exact_groups(docs(spark, [(None, None), (None, "")])).collect()
