@@ -39,18 +39,20 @@ def _key(norm, doc_id: str):
 
 
 def _splitters(docs: DataFrame, doc_id: str, text: str, parts: int) -> list:
-    """At most parts - 1 keys that cut the sorted rows into runs of about equal bytes; from a sample of parts x OVERSAMPLE rows or so."""
-    rows = docs.count()
-    if parts < 2 or not rows:
+    """At most parts - 1 keys that cut the sorted rows into runs of about equal bytes; from a sample of parts x OVERSAMPLE rows or
+    so, which long texts enter by their bytes."""
+    sized = docs.select(doc_id, text, (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).alias("__weight"))
+    total = sized.agg(F.sum("__weight")).first()[0] or 0
+    if parts < 2 or not total:
         return []
-    share = min(1.0, parts * OVERSAMPLE / rows)
-    drawn = docs.select(doc_id, text).sample(share, seed=11) if share < 1 else docs.select(doc_id, text)
-    drawn = drawn.select(_key(normalised(text_of(text)), doc_id).alias("key"), (F.octet_length(text_of(text)) + ROW_BYTES).alias("weight"))
+    step = total / (parts * OVERSAMPLE)
+    drawn = sized.where(F.rand(11) * step < F.col("__weight"))
+    drawn = drawn.select(_key(normalised(text_of(text)), doc_id).alias("key"), F.greatest("__weight", F.lit(step)).alias("weight"))
     keys = sorted(((tuple(r["key"]), r["weight"]) for r in drawn.collect()), key=lambda k: (k[0][0].encode(), k[0][1], k[0][2], k[0][3] or 0))
-    total, found, so_far = sum(w for _, w in keys), [], 0
+    drawn_total, found, so_far = sum(w for _, w in keys), [], 0
     for key, weight in keys:
         # A key opens the partition that its bytes reach into.
-        if so_far * parts >= (len(found) + 1) * total:
+        if len(found) < parts - 1 and so_far * parts >= (len(found) + 1) * drawn_total:
             found.append(key)
         so_far += weight
     return found
