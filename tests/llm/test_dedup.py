@@ -174,10 +174,17 @@ def brute_cut(rows, size=13):
     return Counter(out)
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [False, True])
+def test_repeats_equal_brute_force(spark, monkeypatch, wide):
     monkeypatch.setattr(substrings, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(substrings, "WINDOWS_A_BLOCK", 1)
+    if wide:
+        # Hashes of more than eight bytes, as larger inputs have.
+        monkeypatch.setattr(substrings, "COLLISIONS", 1e-12)
+        assert substrings.layout(200_000, 4)[1] > 8
     passage = prose(77, 40)
-    rows = awkward() + [(500 + i, prose(i, 30) + " " + passage + " " + prose(i + 900, 20) + " " + passage) for i in range(25)] + [(700 + i, ("x " * 40) + prose(i, 15)) for i in range(8)]
+    # Many rows of one identifier and of none lie across cuts, with windows of their own and of others.
+    rows = awkward() + [(640, prose(i, 60) + " " + passage + " " + prose(3, 200)) for i in range(30)] + [(None, prose(i, 80) + " " + passage) for i in range(30)] + [(500 + i, prose(i, 30) + " " + passage + " " + prose(i + 900, 20) + " " + passage) for i in range(25)] + [(700 + i, ("x " * 40) + prose(i, 15)) for i in range(8)]
     random.Random(1).shuffle(rows)
     got = substrings.remove_repeats(docs(spark, rows)).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_cut(rows)
@@ -187,12 +194,33 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         assert all(a["stop"] < b["start"] + 1 for a, b in zip(r["removed"], r["removed"][1:]))
 
 
+def test_blocks_stay_fewer_than_windows():
+    """Blocks of all groups together, at sizes from a gigabyte to a hundred terabytes."""
+    for size in (10**9, 10**12, 10**14):
+        groups, width = substrings.layout(size, 1000)
+        windows = size // substrings.WORD_BYTES
+        assert groups <= 1000 or groups * groups * substrings.WINDOWS_A_BLOCK <= windows * 1.01
+        assert windows**2 / 2 / 2 ** (8 * width) <= substrings.COLLISIONS
+    assert substrings.layout(10**14, 1000)[0] > 100_000
+
+
+def test_wide_hashes_tell_windows_apart():
+    words = prose(5, 3000).encode().split()
+    narrow, wide = (substrings.window_hashes(words, substrings._Tokens(), w) for w in (8, 12))
+    assert narrow.shape[0] == 1 and (narrow[0] == wide[0]).all() and len(np.unique(wide[1])) == len(np.unique(wide[0])) and wide[1].max() < 1 << 32
+    # Where the first bytes collide, the others decide.
+    clash = np.stack([wide[0] & np.uint64(7), wide[1]])
+    order, fresh = substrings._ranked(clash)
+    assert fresh.sum() == len({tuple(words[i : i + 13]) for i in range(len(words) - 12)})
+
+
 def test_repeats_on_nothing(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
 def test_planes_round_trip():
     values = np.array([0, 1, 255, 256, 70_000, 2**31], np.int64)
+    assert (substrings._from_planes(substrings._planes(values, 5), 5) == values).all()
     assert (substrings._from_planes(substrings._planes(values, 4), 4) == values).all()
     assert (substrings._places(substrings._gaps(np.array([0, 3, 1000]))) == [0, 3, 1000]).all()
 
