@@ -3,12 +3,17 @@
 Every text is read once. Fixed patterns give the base spans. Wider patterns give candidates for further spans, on which
 labelers vote for, against or not at all: the candidate's shape, its mix of characters, a gazetteer of words that
 introduce such data, the marks right before it, and what surrounds it. What the corpus says of the labelers is a count for
-each pattern of votes, a table whose size is fixed by the number of labelers; expectation-maximisation on it estimates
-each labeler's reliabilities, and a logistic span classifier is trained on the probabilities that follow. Its decision for
-each pattern of votes then selects the candidates.
+each pattern of votes, kind and look (classes of length and of the share of digits), a table of fixed size;
+expectation-maximisation on it estimates each labeler's reliabilities, and a logistic span classifier over votes, kind and
+look is trained on the probabilities that follow. Its decision for each such pattern then selects the candidates.
 
-Defined results: a null text is the empty text; rows are independent once the classifier is trained, so repeated rows give
-repeated results; an empty table gives an empty result; other columns are not read.
+What defines candidates: parts of a spelt-out address have up to 64 characters, as addresses do, and passwords too; labelers
+read CONTEXT characters before a candidate and 8 after it.
+
+Defined results: a null text is the empty text; whole texts are read, however long, in time linear in them; a candidate that
+overlaps a base span or an earlier candidate, by kind and then place, is none, while base spans of different kinds may
+overlap; rows are independent once the classifier is trained, so repeated rows give repeated results; a pattern that is as
+likely true as not is accepted; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from catalens.llm.runtime import let, materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("account", "email_spelt", "phone_local", "secret")
+MORE_KINDS = ("account", "email_spelt", "national_id", "password", "phone_local", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 
 # The base patterns. A match of the first two can only begin where a run of their first characters does.
@@ -35,6 +40,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_INTRODUCED = re.compile(r"(?i:pass|pwd|pin)")
 
 
 def luhn(digits: str) -> bool:
@@ -72,18 +78,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-# Candidates for further spans, each beginning where its run of characters does.
+# Candidates for further spans, each beginning where its run of characters does; of a pattern with a group, what that holds.
 _CANDIDATES = (
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("email_spelt", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,64}){1,4}")),
-    ("phone_local", re.compile(r"(?<![0-9+().\x20-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])|(?<=[a-z,;:]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")),
+    ("national_id", re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("password", re.compile(r"\b(?:password|passwd|passphrase|passcode|passwort|pwd|pin)\b[\"']?\x20?(?:[=:]|is\b)\x20?[\"'`]?([^\s\"'`,;]{4,64})", re.I)),
+    ("phone_local", re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])|(?<![0-9+().,-])\(?0[0-9]{1,4}\)?(?:[\x20/-][0-9]{2,8}){1,4}(?![0-9.,-])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")),
 )
 # The gazetteer of words that introduce such data, and of words that introduce other numbers.
-_FOR = re.compile(r"\b(?:token|secret|password|passwd|pwd|key|apikey|credential|bearer|auth|iban|account|konto|compte|cuenta|phone|tel|telephone|mobile|call|fax|telefon|mail|email|contact|write)\b", re.I)
-_AGAINST = re.compile(r"\b(?:isbn|issn|doi|version|page|pages|figure|table|order|article|sha|commit|revision|chapter|http|https|www)\b", re.I)
+_FOR = re.compile(r"\b(?:token|secret|password|passwd|passphrase|passcode|passwort|pwd|pin|key|apikey|credential|credentials|bearer|auth|iban|account|konto|compte|cuenta|ssn|insurance|phone|tel|telephone|mobile|call|fax|telefon|mail|email|contact|write)\b", re.I)
+_AGAINST = re.compile(r"\b(?:isbn|issn|doi|version|page|pages|figure|table|order|article|sha|commit|revision|chapter|part|serial|invoice|http|https|www)\b", re.I)
 _MARK = re.compile(r"[=:]\s*[\"'`(\[<]?\s*\Z|[\"'`]\Z")
 _HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
+#: North American numbers: neither area nor exchange begins with 0 or 1.
+_NATIONAL = re.compile(r"[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}\Z")
+#: Prefixes that issuers give to keys.
+_ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\Z|(?:ghp|gho|sk|pk|rk|xox[abp])[_-]")
+#: Characters before a candidate that labelers read.
+CONTEXT = 24
 
 LABELERS = 5
 VOTES = (-1, 0, 1)
@@ -96,25 +110,38 @@ def _iban(value: str) -> bool:
 
 def votes(kind: str, text: str, start: int, stop: int) -> tuple[int, ...]:
     """What each labeler says of a candidate: 1 for, -1 against, 0 nothing."""
-    value, before, after = text[start:stop], text[max(0, start - 24) : start], text[stop : stop + 8]
+    value, before, after = text[start:stop], text[max(0, start - CONTEXT) : start], text[stop : stop + 8]
     digits, letters = sum(map(str.isdigit, value)), sum(map(str.isalpha, value))
     if kind == "secret":
-        shape = 1 if _HEX.match(value) else 0
-        mixed = 1 if digits >= 4 and letters >= 4 and len(set(value)) >= 8 else -1
+        shape = 1 if _HEX.match(value) or _ISSUED.match(value) else 0
+        mixed = 1 if digits >= 4 and letters >= 4 and len(set(value)) >= 8 or _ISSUED.match(value) else -1
     elif kind == "account":
         shape, mixed = (1 if _iban(value) else -1), (1 if digits >= 10 else 0)
     elif kind == "email_spelt":
         shape, mixed = 1, (0 if letters else -1)
+    elif kind == "national_id":
+        # Areas 000, 666 and 900 on, group 00 and serial 0000 are not issued.
+        area, group, serial = value.split("-")
+        shape, mixed = (-1 if area in ("000", "666") or area >= "900" or group == "00" or serial == "0000" else 1), (1 if len(set(value)) >= 5 else -1)
+    elif kind == "password":
+        shape = 1 if digits and letters or not value.isalnum() and len(value) >= 6 else 0
+        mixed = 1 if len(set(value)) >= 4 else -1
     else:
-        shape, mixed = (1 if value[0] == "(" else 0), (1 if len(set(filter(str.isdigit, value))) >= 4 else -1)
+        shape, mixed = (1 if value[0] in "(0" or _NATIONAL.match(value) else 0), (1 if len(set(filter(str.isdigit, value))) >= 4 and 7 <= digits <= 15 else -1)
     known = 1 if _FOR.search(before) else -1 if _AGAINST.search(before) else 0
     mark = 1 if _MARK.search(before) else 0
     around = -1 if after[:1].isalnum() or before[-1:] in "/\\#$" and before else 1 if after[:1] in "\"'`)]>" and after else 0
     return shape, mixed, known, mark, around
 
 
-def code_of(kind: int, vote: tuple[int, ...]) -> int:
-    code = kind
+def look_of(value: str) -> int:
+    """The look of a candidate: three classes of length, three of the share of digits."""
+    digits = sum(map(str.isdigit, value))
+    return 3 * ((len(value) >= 12) + (len(value) >= 24)) + (4 * digits >= len(value)) + (4 * digits >= 3 * len(value))
+
+
+def code_of(kind: int, vote: tuple[int, ...], look: int = 0) -> int:
+    code = look * len(MORE_KINDS) + kind
     for v in vote:
         code = code * 3 + v + 1
     return code
@@ -125,21 +152,21 @@ def votes_of(code: int) -> tuple[int, tuple[int, ...]]:
     for _ in range(LABELERS):
         code, v = divmod(code, 3)
         vote.append(v - 1)
-    return code, tuple(reversed(vote))
+    return code % len(MORE_KINDS), tuple(reversed(vote))
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind, start, stop, code) of further candidates; none overlaps a base span or an earlier candidate."""
-    if not _ANY.search(text) and "(at)" not in text and "[at]" not in text:
+    if not _ANY.search(text) and "(at)" not in text and "[at]" not in text and not _INTRODUCED.search(text):
         return []
     taken, found = sorted((a, b) for _, a, b in base), []
     for k, (kind, pattern) in enumerate(_CANDIDATES):
         for m in pattern.finditer(text):
-            a, b = m.span()
+            a, b = m.span(1) if m.re.groups else m.span()
             if kind == "secret" and not any(map(str.isdigit, m[0])) or any(x < b and a < y for x, y in taken):
                 continue
             taken.append((a, b))
-            found.append((len(BASE_KINDS) + k, a, b, code_of(k, votes(kind, text, a, b))))
+            found.append((len(BASE_KINDS) + k, a, b, code_of(k, votes(kind, text, a, b), look_of(text[a:b]))))
     return found
 
 
@@ -189,8 +216,10 @@ def reliabilities(counts: dict[tuple[int, ...], float], steps: int = 60) -> tupl
     return share, table, dict(zip(patterns, truth.tolist(), strict=True))
 
 
-def _features(kind: int, vote: tuple[int, ...]) -> list[float]:
-    row = [1.0] + [float(kind == k) for k in range(len(MORE_KINDS))]
+def _features(code: int) -> list[float]:
+    kind, vote = votes_of(code)
+    size, share = divmod(code // 3**LABELERS // len(MORE_KINDS), 3)
+    row = [1.0, float(size >= 1), float(size == 2), float(share >= 1), float(share == 2)] + [float(kind == k) for k in range(len(MORE_KINDS))]
     for v in vote:
         row += [float(v == 1), float(v == -1)]
     return row
@@ -205,8 +234,8 @@ def train_classifier(codes: dict[int, int], steps: int = 400, rate: float = 0.5,
     truth = reliabilities(pooled)[2]
     known = sorted(codes)
     if not known:
-        return np.zeros(len(_features(0, (0,) * LABELERS))), set()
-    x = np.array([_features(*votes_of(c)) for c in known])
+        return np.zeros(len(_features(0))), set()
+    x = np.array([_features(c) for c in known])
     y = np.array([truth[votes_of(c)[1]] for c in known])
     w = np.sqrt([codes[c] for c in known])
     w /= w.sum()
@@ -223,7 +252,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, spans) of every row: spans is array<struct<kind:string,start:bigint,stop:bigint,base:boolean>>, by kind, then
     start; places are code points, the stop exclusive."""
     rows = materialise(found_spans(docs, doc_id, text), "spans")
-    # One row for each pattern of votes: at most kinds x 3^labelers.
+    # One row for each pattern of votes: at most looks x kinds x 3^labelers.
     codes = rows.select(F.explode("spans").alias("s")).where("s.code >= 0").groupBy("s.code").count().collect()
     accepted = train_classifier({r["code"]: r["count"] for r in codes})[1]
     wanted = F.array(F.lit(-1), *[F.lit(c) for c in sorted(accepted)])

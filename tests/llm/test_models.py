@@ -52,6 +52,61 @@ def test_personal_data(spark):
     assert "me@x.org" not in red or "[email]" in red
 
 
+def planted(r):
+    """Texts of prose with one planted span, or with a number that is none: (text, kind or None, start, stop)."""
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    some = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
+
+    def iban():
+        bank = some(18, digits)
+        return f"DE{98 - int(bank + '131400') % 97:02d}{bank}"
+
+    kinds = {
+        "secret": lambda: r.choice([('token = "', hexes(40), '"'), ("api key: ", "AKIA" + some(16, upper), ""), ("secret='", some(32, upper + "abcdefgh_"), "'"), ("bearer ", "sk_" + some(28, digits + "abcdefxyz"), "")]),
+        "password": lambda: r.choice([("password: ", r.choice(["hunter2", "s3cret!", "Winter2024"]) + some(2, digits), ""), ('pwd="', some(6, "abcdef") + some(3, digits), '"'), ("the passcode is ", some(6, digits), "")]),
+        "national_id": lambda: (r.choice(["ssn ", "SSN: ", "insurance number "]), f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", ""),
+        "phone_local": lambda: r.choice([("call ", f"0{r.randrange(20, 99)} {r.randrange(123456, 987654)}", ""), ("phone: ", f"({r.randrange(200, 989)}) {r.randrange(200, 989)}-{r.randrange(1000, 9999)}", ""), ("tel ", f"{r.randrange(200, 989)}-{r.randrange(200, 989)}-{r.randrange(1000, 9999)}", "")]),
+        "account": lambda: (r.choice(["iban ", "account: ", "konto "]), iban(), ""),
+        "email_spelt": lambda: ("write to ", f"jo{r.randrange(99)} [at] mail{r.randrange(9)} [dot] org", ""),
+    }
+    none = [lambda: ("commit ", hexes(40), ""), lambda: ("isbn ", f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", ""), lambda: ("page ", str(r.randrange(99999)), ""), lambda: ("part ", f"0{r.randrange(20, 99)} {r.randrange(123456, 987654)}", ""), lambda: ("", "averyveryverylongwordwithoutanydigits", ""), lambda: ("https://x.org/", hexes(40), "")]
+    for kind, make in [*(k for k in kinds.items() for _ in range(60)), *((None, n) for n in none for _ in range(40))]:
+        before, value, after = make()
+        head = " ".join(r.choice(["la", "over", "the", "den", "mot"]) for _ in range(12)) + " " + before
+        yield head + value + after + " and so on", kind, len(head), len(head) + len(value)
+
+
+def test_further_spans_are_recalled(spark):
+    made = list(planted(random.Random(8)))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, [(i, m[0]) for i, m in enumerate(made)])).collect()}
+    found, total, wrong = Counter(), Counter(), Counter()
+    for i, (text, kind, start, stop) in enumerate(made):
+        spans = [(s["start"], s["stop"]) for s in got[i] if not s["base"]]
+        total[kind] += 1
+        if kind:
+            found[kind] += any(a <= start and stop <= b or a < stop and start < b and b - a >= 0.9 * (stop - start) for a, b in spans)
+        else:
+            wrong[text.split()[-5]] += bool(spans)
+    recall = {k: found[k] / total[k] for k in total if k}
+    assert set(recall) == set(pii.MORE_KINDS) and min(recall.values()) >= 0.9, recall
+    assert sum(wrong.values()) <= 0.1 * total[None], wrong
+
+
+def test_personal_data_query_equals_brute_force(spark):
+    small = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in Q.QUERIES["op4_pii_spans"](spark, small).collect():
+        want = brute_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[0] == k for x in want) for k in pii.BASE_KINDS]
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+        # Tokens as the corpus has them: every one is found.
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', texts[r["doc_id"]], re.I):
+            assert f"secret:{m.start(1)}:{m.end(1)}" in r["spans"].split(",")
+
+
 def test_reliabilities_find_the_good_labeler():
     r = random.Random(3)
     counts = Counter()
