@@ -5,7 +5,8 @@ import pytest
 from catalens.llm import html
 
 TREE = html.train_tree(*html.labelled_blocks())
-STORY = f"<article><p>Story {html._LONG}</p><p>Ending {html._LONG}</p></article>"
+LONG = "which runs on for a good number of words, as the sentences of an article do, and has few links or none at all"
+STORY = f"<article><p>Story {LONG}</p><p>Ending {LONG}</p></article>"
 
 
 def texts(page):

@@ -2,8 +2,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -209,7 +211,7 @@ PAGES = [
     ("<article><p>Text</p><div class='comments'><p>Reader</p></div><p>More</p><aside>Side</aside></article><div id=cookie-notice>Cookies</div>", "Text More"),
     ("<article><p title='a > b'>Kept</p><form><p>Name</p></form></article>", "Kept"),
     ("", ""),
-    ("no markup", ""),
+    ("no markup", "no markup"),
 ]
 
 
@@ -220,11 +222,88 @@ def test_main_text(page, text):
 
 def test_the_tree_learns_its_table():
     rows, labels = html.labelled_blocks()
-    assert [html.decide(TREE, r) for r in rows] == labels and 0 < sum(labels) < len(labels)
+    right = sum(html.decide(TREE, r) == y for r, y in zip(rows, labels, strict=True))
+    assert right >= 0.98 * len(rows) and 0 < sum(labels) < len(labels)
+    # Pages that it has not seen.
+    rows, labels = html.labelled_blocks(html.labelled_pages(99, 100))
+    assert sum(html.decide(TREE, r) == y for r, y in zip(rows, labels, strict=True)) >= 0.97 * len(rows)
     long = "words " * 40
     assert html.main_text(f"<div><a href=x>Menu</a></div><p>{long}</p>", TREE) == long.strip()
 
 
+def test_the_tree_reads_link_density_and_neighbours():
+    def used(tree):
+        return set() if isinstance(tree, int) else {html.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+    print(TREE)
+    assert {"links", "words"} <= used(TREE) and used(TREE) & {"links_before", "words_before"} and used(TREE) & {"links_after", "words_after"}
+    # Marks alone do not decide: without them most blocks are still told right.
+    rows, labels = html.labelled_blocks(html.labelled_pages(99, 100))
+    blind = [(0, *r[1:]) for r in rows]
+    assert sum(html.decide(TREE, r) == y for r, y in zip(blind, labels, strict=True)) >= 0.75 * len(rows)
+    # A list of links within an article is a menu; a linked paragraph between others is not.
+    text = "Plain words of an article without links"
+    assert html.main_text(f"<article><p>{text}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></article>", TREE) == text
+    assert html.main_text(f"<article><p>{text}<p><a href=1>Whole link</a><p>{text}</article>", TREE) == f"{text} Whole link {text}"
+
+
+STORY = " ".join(["Story"] * 17)
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p class=ad>Buy now<p>{STORY}", f"<div class='header-image post'><p>{STORY}</div>", f"<ul class=menu><li>Home<li>News</ul><p>{STORY}",
+    *(f"<article><p>{STORY}</article><div class='{c}'><p>Words that a reader or a shop wrote there</div>" for c in ("responses", "reader-feedback", "sharing-tools", "promoted", "privacy-bar", "commentList", "ad-slot big")),
+    f"<table><tr><td class=sidebar>Side words here<td><p>{STORY}</table>", f"<dl><dt class=ad>Term of an advert<dd>{STORY}</dl>",
+])
+def test_marks_end_where_elements_do(page):
+    assert html.main_text(page, TREE) == STORY
+
+
+def test_short_sentences_without_marks_stay():
+    assert html.main_text(f"<div>A short sentence.</div><p>{STORY}</p>", TREE) == f"A short sentence. {STORY}"
+
+
+@pytest.mark.parametrize("piece", ["<p>x</div></b>", "<div class=a><p>some text", "<p><table><x>", "</x></y><li>z", "<select><svg>", "a &amp; b <i>"])
+def test_long_pages_take_linear_time(piece):
+    began = time.process_time()
+    html.main_text(piece * (1_000_000 // len(piece)), TREE)
+    assert time.process_time() - began < 4
+
+
+class Walker(HTMLParser):
+    """The text of article elements, block by block, but for what is never text."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skipped, self.parts = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skipped += tag in ("script", "style")
+        if tag in ("p", "h1", "br", "div"):
+            self.parts.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skipped -= tag in ("script", "style")
+        if tag in ("p", "h1", "div"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.parts[-1] += data
+
+
+def test_pages_equal_a_walk_over_their_articles(spark):
+    small = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in Q.QUERIES["op8_html_extraction"](spark, small).collect()}
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        walk = Walker()
+        walk.feed(r["html"] or "")
+        walk.close()
+        assert got[r["page_id"]] == " ".join(" ".join(x.split()) for x in walk.parts if x.split()), r["page_id"]
+
+
 @given(st.text(alphabet="<>/apdiv class='\"ad&;!-=é", max_size=80))
 @settings(max_examples=400, deadline=None)
 def test_any_markup_is_read(page):
