@@ -3,22 +3,26 @@
 A text is the sequence of its lower-cased tokens and an end. The model codes a token as binary decisions: down a Huffman
 tree over the most frequent training tokens, or past its escape leaf and then byte by byte down a second tree. Several
 predictors, each a hashed context with the counts of training decisions in it, give their odds for a decision; a gate
-picks the weights that combine them, and each document refines the weights of every gate as it is read, block after block. The sum of
-the decisions' bits is the text's probability.
+picks the weights that combine them. All documents start from the same fixed weights, and each refines those of every gate as
+it is read, for its tokens and for its spelled words alike, block after block from its first decisions on. The sum of the
+decisions' bits is the text's probability.
 
 Everything learned covers all training documents. Token counts are exact: chunks send distinct token hashes to ranges of
 hashes, which add them up; later each group of documents asks the ranges for the counts of its tokens, so no vocabulary
-is ever gathered in one place. Context counts are summed as fixed-size tables. Only the initial weights of the mixer are
-fitted on a bounded sample, HELD documents of each task, scored before they are counted.
+is ever gathered in one place. Context counts are summed over all training documents as tables. Their sizes, and the leaves of
+the token tree, grow with the number of training tokens, the tables up to what a task can hold (`table_bits`). Nothing is
+fitted on a sample, and no score depends on how documents are dealt to tasks.
 
 Defined results: a null text has the end token alone; a null identifier is held to be the text "None"; repeated rows are
-separate documents; without training documents all counts are zero and scores stay finite; an empty table gives an empty
-result; other columns are not read.
+separate documents; without training documents all counts are zero and scores stay finite; very long texts are scored whole,
+some tokens at a time; tokens of equal counts are leaves together or not at all; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -33,21 +37,23 @@ from catalens.llm.tokens import Tokens
 
 #: Documents whose crc32(identifier) has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Leaves of the token tree besides the escape. Other tokens are spelled.
-LEAVES = 1 << 16
-#: log2 of the slots of each predictor: token contexts, then byte contexts.
+#: Leaves of the token tree besides the escape, at most: tokens counted more than once, the most frequent first. Others are spelled.
+LEAVES = 1 << 18
+#: log2 of the slots of each predictor at FEW tokens and fewer: token contexts, then byte contexts; and how much they may grow.
 TOKEN_BITS, BYTE_BITS = (20, 21), (17, 20, 20)
-#: Training documents of a task that the mixer's first weights are fitted on.
-HELD = 48
-#: Decisions of a document between refinements of its weights, and of the sample between those of the first weights.
-BLOCK, FIT_BLOCK = 256, 2048
+FEW, GROWTH = 1 << 23, 2
+#: Weights of the predictors that every document starts with: of the odds without context, then of states, which are sixteenths.
+FIRST_WEIGHTS = ([0.5, 0.02, 0.02], [0.2, 0.02, 0.025, 0.025])
+#: Decisions of a document between refinements of its weights: the first block, doubling up to the second number, and later one
+#: part in so many of all decisions so far.
+BLOCKS = (32, 256, 16)
 #: Curvature that a weight has from the start, of odds and of states, which are sixteenths: it keeps first steps short.
 RESERVE = (np.float32(50), np.float32(50 * 256))
-_RESERVES = np.array([RESERVE[0], RESERVE[1], RESERVE[1]], np.float32)
-#: Bytes of text in a group of documents, and tokens that a range of hashes gets.
-GROUP_BYTES, RANGE_TOKENS = 12_000_000, 4_000_000
-#: Rows of a batch, tokens, decisions and spelled words that are worked on at a time.
-ROWS, STEP, FLUSH, KEPT_WORDS = 2500, 8000, 1 << 22, 300_000
+#: Bytes of text in a group of documents or a chunk, and distinct tokens that one of them and one range of hashes share on
+#: average at least.
+GROUP_BYTES, TOKENS_A_BLOCK = 12_000_000, 64
+#: Rows of a batch, tokens and spelled words that are worked on at a time, and spelled words that are kept.
+ROWS, STEP, SPELLED, KEPT_WORDS = 2500, 24_000, 6000, 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,6 +71,19 @@ def _parts(batch: pa.RecordBatch, training: bool):
             yield [d for d, k in zip(ids, kept, strict=True) if k], part.column(1).filter(pa.array(kept))
 
 
+def layout(size: int, parts: int) -> tuple[int, int]:
+    """Groups of documents and ranges of hashes that `size` bytes of text take. Both grow with the square root of the size, so
+    that the blocks which groups and ranges exchange stay a fraction of tokens."""
+    group = max(GROUP_BYTES, 6 * math.isqrt(TOKENS_A_BLOCK * max(1, size // 6)))
+    return max(1, min(2 * parts, size // 1000 + 1), size // group), max(1, min(parts, size // 1000 + 1), size // (2 * group))
+
+
+def table_bits(tokens: int) -> tuple[int, ...]:
+    """log2 of the slots of each predictor: twice as many for four times as many training tokens, up to GROWTH times twice."""
+    more = min(GROWTH, max(0, math.ceil(math.log2(max(1, tokens / FEW)) / 2)))
+    return tuple(b + more for b in (*TOKEN_BITS, *BYTE_BITS))
+
+
 def _span(hashes: np.ndarray, spans: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)).astype(np.int64)
 
@@ -257,23 +276,24 @@ TOKEN_GATES, BYTE_GATES = 8, 4
 class Model:
     """The trees, and for each predictor its slots: counts while learning, states when scoring."""
 
-    def __init__(self, words: np.ndarray, token_counts: np.ndarray, escape: int, letters: np.ndarray):
+    def __init__(self, words: np.ndarray, token_counts: np.ndarray, escape: int, letters: np.ndarray, bits: tuple[int, ...] = (*TOKEN_BITS, *BYTE_BITS)):
+        self.bits = bits
         order = np.argsort(words)
         self.words = words[order]
         self.tokens = _Tree([*token_counts[order].tolist(), escape])
         self.bytes = _Tree(np.append(letters[:256], max(1, int(letters.sum()) // 8)).tolist())
         self.escape = len(words)
         self.states: list[np.ndarray] = []
-        self.weights = [np.tile(np.array(w, np.float32), (gates, 1)) for w, gates in (([0.5, 0.02, 0.02], TOKEN_GATES), ([0.2, 0.02, 0.025, 0.025], BYTE_GATES))]
+        self.weights = [np.tile(np.array(w, np.float32), (gates, 1)) for w, gates in zip(FIRST_WEIGHTS, (TOKEN_GATES, BYTE_GATES), strict=True)]
 
     def parts(self) -> tuple:
         """Arrays alone: what a broadcast carries to executors that lack this module."""
-        return self.words, *([getattr(t, f) for f in _Tree.FIELDS] for t in (self.tokens, self.bytes)), self.states, self.weights
+        return self.words, *([getattr(t, f) for f in _Tree.FIELDS] for t in (self.tokens, self.bytes)), self.states, self.weights, self.bits
 
     @classmethod
     def of(cls, parts: tuple) -> Model:
         model = cls.__new__(cls)
-        model.words, tokens, letters, model.states, model.weights = parts
+        model.words, tokens, letters, model.states, model.weights, model.bits = parts
         model.escape = len(model.words)
         model.tokens, model.bytes = (_Tree.__new__(_Tree) for _ in range(2))
         for tree, fields in ((model.tokens, tokens), (model.bytes, letters)):
@@ -289,13 +309,13 @@ class Model:
     def token_slots(self, hashes, firsts, symbols):
         n, path = self.tokens.expand(symbols)
         marks = self.tokens.marks[path >> 2]
-        return n, path, [_slots(c, n, marks, b) for c, b in zip(_token_contexts(hashes, firsts), TOKEN_BITS, strict=True)]
+        return n, path, [_slots(c, n, marks, b) for c, b in zip(_token_contexts(hashes, firsts), self.bits, strict=False)]
 
     def byte_slots(self, words):
         symbols, owner, contexts = _bytes_of(words)
         n, path = self.bytes.expand(symbols)
         marks = self.bytes.marks[path >> 2]
-        return n, path, [_slots(c, n, marks, b) for c, b in zip(contexts, BYTE_BITS, strict=True)], owner
+        return n, path, [_slots(c, n, marks, b) for c, b in zip(contexts, self.bits[len(TOKEN_BITS) :], strict=True)], owner
 
     def token_inputs(self, hashes, firsts, symbols):
         """Decisions of each token; the bit, the predictors' odds and the gate of every decision."""
@@ -320,12 +340,12 @@ class Model:
 
 
 class Counter:
-    """Counts of training decisions in every predictor's slots, gathered until adding them to the tables pays."""
+    """Counts of training decisions in every predictor's slots."""
 
     def __init__(self, model: Model):
-        self.model, self.waiting, self.held = model, [], 0
+        self.model = model
         # Counts of one task: far below 2^31 in a slot.
-        self.tables = [np.zeros(2 << b, np.int32) for b in (*TOKEN_BITS, *BYTE_BITS)]
+        self.tables = [np.zeros(2 << b, np.int32) for b in model.bits]
         self.spelled: dict[bytes, int] = {}
 
     def add_tokens(self, hashes: np.ndarray, firsts: np.ndarray, symbols: np.ndarray) -> None:
@@ -335,17 +355,9 @@ class Counter:
             inside = firsts[(firsts >= a) & (firsts < i + STEP)] - a
             n, path, slots = self.model.token_slots(hashes[a : i + STEP], inside, symbols[a : i + STEP])
             skip = int(n[: i - a].sum())
-            bits = (path[skip:] & 1).astype(np.uint32)
-            self.waiting.append([(s[skip:] << np.uint32(1) | bits) for s in slots])
-            self.held += len(bits)
-            if self.held > FLUSH:
-                self.flush()
-
-    def flush(self) -> None:
-        if self.waiting:
-            for k in range(len(TOKEN_BITS)):
-                self.tables[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=len(self.tables[k])).astype(np.int32)
-        self.waiting, self.held = [], 0
+            bits = path[skip:] & 1
+            for k, s in enumerate(slots):
+                np.add.at(self.tables[k], (s[skip:].astype(np.int64) << 1) | bits, np.int32(1))
 
     def add_spelled(self, words: list[bytes], times: np.ndarray) -> None:
         for w, n in zip(words, times.tolist(), strict=True):
@@ -354,26 +366,15 @@ class Counter:
             self.spell()
 
     def spell(self) -> None:
-        once = [w for w, n in self.spelled.items() if n == 1]
-        often = [(w, n) for w, n in self.spelled.items() if n > 1]
+        words, times = list(self.spelled), np.fromiter(self.spelled.values(), np.int32, len(self.spelled))
         self.spelled = {}
-        self._spell(once, None)
-        self._spell([w for w, _ in often], np.array([n for _, n in often], float))
-
-    def _spell(self, words: list[bytes], times: np.ndarray | None) -> None:
-        for i in range(0, len(words), 30_000):
-            parts = []
-            for j in range(i, min(i + 30_000, len(words)), 1500):
-                n, path, slots, owner = self.model.byte_slots(words[j : j + 1500])
-                bits = (path & 1).astype(np.uint32)
-                parts.append(([s << np.uint32(1) | bits for s in slots], None if times is None else np.repeat(times[j : j + 1500][owner], n)))
-            weights = None if times is None else np.concatenate([w for _, w in parts])
-            for k in range(len(BYTE_BITS)):
-                table = self.tables[len(TOKEN_BITS) + k]
-                table += np.bincount(np.concatenate([s[k] for s, _ in parts]), weights=weights, minlength=len(table)).astype(np.int32)
+        for i in range(0, len(words), 1500):
+            n, path, slots, owner = self.model.byte_slots(words[i : i + 1500])
+            bits, weights = path & 1, np.repeat(times[i : i + 1500][owner], n)
+            for k, s in enumerate(slots):
+                np.add.at(self.tables[len(TOKEN_BITS) + k], (s.astype(np.int64) << 1) | bits, weights)
 
     def done(self) -> list[np.ndarray]:
-        self.flush()
         self.spell()
         return self.tables
 
@@ -403,7 +404,7 @@ def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarra
 def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray, weights: np.ndarray, rate: np.float32 = np.float32(0.3)) -> np.ndarray:
     """Nats of each document's decisions, which stand together.
 
-    All documents start with the same weights; each refines its own, gate by gate, from each BLOCK of its decisions for the
+    All documents start with the same weights; each refines its own, gate by gate, from each block of its decisions for the
     next.
     """
     docs, gates = len(lengths), len(weights)
@@ -411,43 +412,31 @@ def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray,
     sizes, firsts = lengths[order], (np.cumsum(lengths) - lengths)[order]
     own, cost = np.tile(weights, (docs, 1)), np.zeros(docs)
     # The longest first: those with a block left are always the first ones.
-    for start in range(0, int(sizes.max(initial=0)), BLOCK):
-        active, going = (int(np.searchsorted(-sizes, -end)) for end in (start, start + BLOCK))
-        n = np.minimum(BLOCK, sizes[:active] - start)
+    start, block = 0, BLOCKS[0]
+    while start < int(sizes.max(initial=0)):
+        active, going = (int(np.searchsorted(-sizes, -end)) for end in (start, start + block))
+        n = np.minimum(block, sizes[:active] - start)
         who = np.repeat(np.arange(active), n)
         at = np.repeat(firsts[:active] + start - (np.cumsum(n) - n), n) + np.arange(len(who))
         xs, key = x[:, at], who * gates + gate[at]
         spent, error = _cost(_weighted(xs, own, key), bits[at])
         cost[:active] += np.bincount(who, weights=spent, minlength=active)
         if going:
-            key, error, xs = key[: going * BLOCK], error[: going * BLOCK], xs[:, : going * BLOCK]
+            key, error, xs = key[: going * block], error[: going * block], xs[:, : going * block]
             size = np.abs(error)
             curve = size - size * size
             for k in range(len(x)):
                 steepness = np.bincount(key, weights=xs[k] * xs[k] * curve, minlength=going * gates) + RESERVE[k > 0]
                 own[: going * gates, k] += (rate * np.bincount(key, weights=error * xs[k], minlength=going * gates) / steepness).astype(np.float32)
+        start, block = start + block, max(min(2 * block, BLOCKS[1]), (start + block) // BLOCKS[2])
     nats = np.empty(docs)
     nats[order] = cost
     return nats
 
 
-def fit_gates(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, weights: np.ndarray, rate: float = 0.1, rounds: int = 2) -> np.ndarray:
-    """The gates' weights after the mixer has read these decisions, block by block."""
-    weights = weights.copy()
-    for _ in range(rounds):
-        for i in range(0, len(bits), FIT_BLOCK):
-            xs, g = x[:, i : i + FIT_BLOCK], gate[i : i + FIT_BLOCK]
-            error = _cost(_weighted(xs, weights, g), bits[i : i + FIT_BLOCK])[1]
-            curve = np.abs(error) * (1 - np.abs(error))
-            for k in range(len(x)):
-                steepness = np.bincount(g, weights=xs[k] * xs[k] * curve, minlength=len(weights)) + RESERVE[k > 0]
-                weights[:, k] += (rate * np.bincount(g, weights=error * xs[k], minlength=len(weights)) / steepness).astype(np.float32)
-    return weights
-
-
 # Context counts -----------------------------------------------------------------------------------------------------
 
-#: Rows of tables on their way: the table, the part of it, its counts; weights stand as table -1.
+#: Rows of tables on their way: the table, the part of it, its counts.
 PARTS = [("name", pa.int32()), ("part", pa.int32()), ("data", pa.binary())]
 PARTS_SQL = "name int, part int, data binary"
 PART = 1 << 17
@@ -462,38 +451,14 @@ def _spelled(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
 def _count_contexts(shared):
     def run(batches):
         model = Model.of(shared.value)
-        counter, last = Counter(model), None
-
-        def add(tokens: Tokens) -> None:
-            symbols, spelled = _spelled(model, tokens)
-            counter.add_tokens(tokens.hashes[tokens.index], tokens.firsts, symbols[tokens.index])
-            counter.add_spelled([tokens.words[i] for i in spelled], tokens.counts()[spelled])
-
+        counter = Counter(model)
         for batch in batches:
             for _, texts in _parts(batch, True):
-                if last is not None:
-                    add(Tokens(last))
-                last = texts
-        rows, weights = [], []
-        if last is not None:
-            # The last documents are scored by what the others have taught, and only then counted.
-            held = last.slice(max(0, len(last) - HELD))
-            if len(last) > len(held):
-                add(Tokens(last.slice(0, len(last) - len(held))))
-            tables = counter.done()
-            if any(t.any() for t in tables):
-                model.states = [_states(t) for t in tables]
-                tokens = Tokens(held)
+                tokens = Tokens(texts)
                 symbols, spelled = _spelled(model, tokens)
-                _, bits, x, gate = model.token_inputs(tokens.hashes[tokens.index], tokens.firsts, symbols[tokens.index])
-                weights.append(fit_gates(x, bits, gate, model.weights[0]))
-                if len(spelled):
-                    _, bits, x, gate, _ = model.byte_inputs([tokens.words[i] for i in spelled])
-                    weights.append(fit_gates(x, bits, gate, model.weights[1]))
-                else:
-                    weights.append(model.weights[1])
-                rows.append((-1, 0, np.concatenate([np.ones(1), *(w.ravel() for w in weights)]).astype("<f8").tobytes()))
-            add(Tokens(held))
+                counter.add_tokens(tokens.hashes[tokens.index], tokens.firsts, symbols[tokens.index])
+                counter.add_spelled([tokens.words[i] for i in spelled], tokens.counts()[spelled])
+        rows = []
         for name, c in enumerate(counter.done()):
             for part in range(0, len(c), PART):
                 if (own := c[part : part + PART]).any():
@@ -516,9 +481,9 @@ def _sum_parts(batches):
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for name, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = np.frombuffer(data, "<f8") if name < 0 else _unpacked(zlib.decompress(data))
+            own = _unpacked(zlib.decompress(data))
             sums[name, part] = sums[name, part] + own if (name, part) in sums else own
-    yield _batch([(name, part, own.tobytes() if name < 0 else _states(own).tobytes()) for (name, part), own in sums.items()], PARTS)
+    yield _batch([(name, part, _states(own).tobytes()) for (name, part), own in sums.items()], PARTS)
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------
@@ -538,6 +503,15 @@ def _ask(spans: int):
     return run
 
 
+def _told(counts: np.ndarray) -> bytes:
+    """64-bit counts as planes of bytes: planes of zeros vanish when the shuffle compresses them."""
+    return np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _heard(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
     hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for x in known.column("hashes").to_pylist())])
     counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in known.column("counts").to_pylist())])
@@ -548,7 +522,7 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
         if len(hashes):
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             told = np.where(hashes[at] == own, counts[at], 0)
-        rows.append((home, span, told.astype("<u4").tobytes()))
+        rows.append((home, span, _told(told)))
     return _table(rows, TOLD)
 
 
@@ -559,7 +533,7 @@ def _spelling(model: Model, tokens: Tokens, codes: np.ndarray) -> np.ndarray:
     nats, words, i = np.zeros(len(tokens.sizes)), tokens.index[at], 0
     while i < len(at):
         # Some words, and whole documents.
-        j = int(np.searchsorted(docs, docs[min(i + 1500, len(at)) - 1], side="right"))
+        j = int(np.searchsorted(docs, docs[min(i + SPELLED, len(at)) - 1], side="right"))
         n, bits, x, gate, owner = model.byte_inputs([tokens.words[w] for w in words[i:j]])
         found, place = np.unique(docs[i:j], return_inverse=True)
         lengths = np.bincount(place[owner], weights=n, minlength=len(found)).astype(np.int64)
@@ -578,7 +552,7 @@ def _score(shared):
         order = np.argsort(told.column("span").to_numpy(), kind="stable")
         blobs = told.column("counts").to_pylist()
         counts = np.zeros(len(tokens.words), np.int64)
-        counts[np.argsort(tokens.hashes)] = np.concatenate([np.frombuffer(blobs[i], "<u4") for i in order])
+        counts[np.argsort(tokens.hashes)] = np.concatenate([_heard(blobs[i]) for i in order])
         hashes, codes = tokens.hashes[tokens.index], symbols[tokens.index]
         nats = _spelling(model, tokens, codes)
         logs = np.add.reduceat(np.log10(counts + 1.0)[tokens.index], tokens.firsts)
@@ -615,21 +589,14 @@ def learn(docs: DataFrame, spans: int) -> tuple[DataFrame, Model, int, int]:
     words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["hashes"], "<u8") for r in chosen)])
     often = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], "<i8") for r in chosen)])
     letters = next((np.frombuffer(r["counts"], "<i8") for r in counts.where("span = -1").collect()), np.zeros(257, np.int64))
-    model = Model(words, often, max(1, total - int(often.sum())), letters)
+    model = Model(words, often, max(1, total - int(often.sum())), letters, table_bits(total))
 
     shared = spark.sparkContext.broadcast(model.parts())
     parts = docs.mapInArrow(_count_contexts(shared), PARTS_SQL).repartition(partitions(spark), "name", "part").mapInArrow(_sum_parts, PARTS_SQL).collect()
-    states = [np.zeros(1 << b, np.int8) for b in (*TOKEN_BITS, *BYTE_BITS)]
+    model.states = [np.zeros(1 << b, np.int8) for b in model.bits]
     for r in parts:
-        data = np.frombuffer(r["data"], "<f8" if r["name"] < 0 else np.int8)
-        if r["name"] < 0:
-            data, at = data[1:] / data[0], 0
-            for w in model.weights:
-                w[:] = data[at : at + w.size].reshape(w.shape)
-                at += w.size
-        else:
-            states[r["name"]][r["part"] * PART // 2 :][: len(data)] = data
-    model.states = states
+        data = np.frombuffer(r["data"], np.int8)
+        model.states[r["name"]][r["part"] * PART // 2 :][: len(data)] = data
     return counts, model, total, distinct
 
 
@@ -638,7 +605,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    homes, spans = max(1, min(2 * parts, size // 1000 + 1), size // GROUP_BYTES), max(1, min(parts, size // 1000 + 1), size // (6 * RANGE_TOKENS))
+    homes, spans = layout(size, parts)
     counts, model, total, distinct = learn(docs, spans)
     shared = spark.sparkContext.broadcast(model.parts())
     grouped = docs.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).repartition(parts, "home")
