@@ -40,15 +40,15 @@ FOLDS, HELD_OUT = 7, 2
 #: Leaves of the token tree besides the escape, at most: tokens counted more than once, the most frequent first. Others are spelled.
 LEAVES = 1 << 18
 #: log2 of the slots of each predictor at FEW tokens and fewer: token contexts, then byte contexts; and how much they may grow.
-TOKEN_BITS, BYTE_BITS = (20, 21), (17, 20, 20)
+TOKEN_BITS, BYTE_BITS = (20, 21), (20, 20)
 FEW, GROWTH = 1 << 23, 2
 #: Weights of the predictors that every document starts with: of the odds without context, then of states, which are sixteenths.
-FIRST_WEIGHTS = ([0.5, 0.02, 0.02], [0.2, 0.02, 0.025, 0.025])
+FIRST_WEIGHTS = ([0.5, 0.02, 0.02], [0.2, 0.035, 0.035])
 #: Decisions of a document between refinements of its weights: the first block, doubling up to the second number, and later one
 #: part in so many of all decisions so far.
 BLOCKS = (32, 256, 16)
-#: Curvature that a weight has from the start, of odds and of states, which are sixteenths: it keeps first steps short.
-RESERVE = (np.float32(50), np.float32(50 * 256))
+#: Rate of the refinements, for odds and for states, which are sixteenths; a gate with CALM decisions in a block takes half.
+RATE, SCALE, CALM = 0.012, (1.0, 256.0), 1024
 #: Bytes of text in a group of documents or a chunk, and distinct tokens that one of them and one range of hashes share on
 #: average at least.
 GROUP_BYTES, TOKENS_A_BLOCK = 12_000_000, 64
@@ -247,7 +247,7 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Symbols of spelled words, a byte each and 256 at the end; the word of each; contexts: a byte, three, all before."""
+    """Symbols of spelled words, a byte each and 256 at the end; the word of each; contexts: three bytes, all before."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     symbols = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
@@ -265,9 +265,8 @@ def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         at = order[a:b]
         prefix[at] = (prefix[at - 1] ^ symbols[at - 1].astype(np.uint64)) * _A + np.uint64(7)
-    one = before[0] + np.uint64(1)
     three = (before[0] << np.uint64(20) | before[1] << np.uint64(10) | before[2]) * _B + np.uint64(17)
-    return symbols, owner, [_short(one * _C), _short(three), _short(prefix * _C + np.uint64(19))]
+    return symbols, owner, [_short(three), _short(prefix * _C + np.uint64(19))]
 
 
 TOKEN_GATES, BYTE_GATES = 8, 4
@@ -331,11 +330,11 @@ class Model:
 
     def byte_inputs(self, words):
         n, path, slots, owner = self.byte_slots(words)
-        x = np.empty((4, len(path)), np.float32)
+        x = np.empty((3, len(path)), np.float32)
         x[0] = self.bytes.odds[path >> 2]
         for k, s in enumerate(slots):
             x[1 + k] = self.states[2 + k][s]
-        gate = (x[3] != 0).view(np.uint8) | (np.abs(x[3]) > 32).view(np.uint8) << np.uint8(1)
+        gate = (x[2] != 0).view(np.uint8) | (np.abs(x[2]) > 32).view(np.uint8) << np.uint8(1)
         return n, (path & 1).astype(np.float32), x, gate, owner
 
 
@@ -391,17 +390,7 @@ def _cost(odds: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(whole, out=whole), against
 
 
-def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    odds = np.take(weights[:, 0], gate)
-    odds *= x[0]
-    for k in range(1, len(x)):
-        part = np.take(weights[:, k], gate)
-        part *= x[k]
-        odds += part
-    return odds
-
-
-def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray, weights: np.ndarray, rate: np.float32 = np.float32(0.3)) -> np.ndarray:
+def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Nats of each document's decisions, which stand together.
 
     All documents start with the same weights; each refines its own, gate by gate, from each block of its decisions for the
@@ -410,7 +399,7 @@ def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray,
     docs, gates = len(lengths), len(weights)
     order = np.argsort(-lengths, kind="stable")
     sizes, firsts = lengths[order], (np.cumsum(lengths) - lengths)[order]
-    own, cost = np.tile(weights, (docs, 1)), np.zeros(docs)
+    own, cost = np.ascontiguousarray(np.tile(weights, (docs, 1)).T), np.zeros(docs)
     # The longest first: those with a block left are always the first ones.
     start, block = 0, BLOCKS[0]
     while start < int(sizes.max(initial=0)):
@@ -418,16 +407,19 @@ def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray,
         n = np.minimum(block, sizes[:active] - start)
         who = np.repeat(np.arange(active), n)
         at = np.repeat(firsts[:active] + start - (np.cumsum(n) - n), n) + np.arange(len(who))
-        xs, key = x[:, at], who * gates + gate[at]
-        spent, error = _cost(_weighted(xs, own, key), bits[at])
+        xs, key = [v[at] for v in x], who * gates + gate[at]
+        odds = own[0][key] * xs[0]
+        for k in range(1, len(xs)):
+            part = own[k][key]
+            part *= xs[k]
+            odds += part
+        spent, error = _cost(odds, bits[at])
         cost[:active] += np.bincount(who, weights=spent, minlength=active)
         if going:
-            key, error, xs = key[: going * block], error[: going * block], xs[:, : going * block]
-            size = np.abs(error)
-            curve = size - size * size
-            for k in range(len(x)):
-                steepness = np.bincount(key, weights=xs[k] * xs[k] * curve, minlength=going * gates) + RESERVE[k > 0]
-                own[: going * gates, k] += (rate * np.bincount(key, weights=error * xs[k], minlength=going * gates) / steepness).astype(np.float32)
+            key, error = key[: going * block], error[: going * block]
+            rate = RATE / (1 + np.bincount(key, minlength=going * gates) / CALM)
+            for k, v in enumerate(xs):
+                own[k, : going * gates] += (rate * np.bincount(key, weights=error * v[: going * block], minlength=going * gates) / SCALE[k > 0]).astype(np.float32)
         start, block = start + block, max(min(2 * block, BLOCKS[1]), (start + block) // BLOCKS[2])
     nats = np.empty(docs)
     nats[order] = cost
@@ -462,7 +454,7 @@ def _count_contexts(shared):
         for name, c in enumerate(counter.done()):
             for part in range(0, len(c), PART):
                 if (own := c[part : part + PART]).any():
-                    rows.append((name, part // PART, zlib.compress(_packed(own), 1)))
+                    rows.append((name, part // PART, pa.compress(_packed(own), "zstd", asbytes=True)))
         yield _batch(rows, PARTS)
 
     return run
@@ -481,7 +473,7 @@ def _sum_parts(batches):
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for name, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = _unpacked(zlib.decompress(data))
+            own = _unpacked(pa.decompress(data, 4 * PART, "zstd", asbytes=True))
             sums[name, part] = sums[name, part] + own if (name, part) in sums else own
     yield _batch([(name, part, _states(own).tobytes()) for (name, part), own in sums.items()], PARTS)
 

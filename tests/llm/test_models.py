@@ -187,23 +187,22 @@ def test_held_out_bits_are_below_a_proper_unigram(spark):
     assert wins >= 0.8 * len(short[:40])
 
 
-def scalar_mix(x, bits, gate, weights, rate=0.3):
+def scalar_mix(x, bits, gate, weights):
     """One document's nats, one decision at a time: weights of each gate, refined after each block."""
     own = [[float(v) for v in row] for row in weights]
     nats, start, block = 0.0, 0, lmscore.BLOCKS[0]
     while start < len(bits):
         end = min(start + block, len(bits))
-        moves = {}
+        slopes, seen = Counter(), Counter()
         for i in range(start, end):
             odds = max(-18.0, min(18.0, sum(w * float(v) for w, v in zip(own[gate[i]], x[:, i]))))
             p = 1 / (1 + math.exp(-odds))
             nats -= math.log(p if bits[i] else 1 - p)
-            error, curve = float(bits[i]) - p, p * (1 - p)
+            seen[gate[i]] += 1
             for k in range(len(x)):
-                slope, steep = moves.get((gate[i], k), (0.0, 0.0))
-                moves[gate[i], k] = slope + error * float(x[k, i]), steep + curve * float(x[k, i]) ** 2
-        for (g, k), (slope, steep) in moves.items():
-            own[g][k] += rate * slope / (steep + float(lmscore.RESERVE[k > 0]))
+                slopes[gate[i], k] += (float(bits[i]) - p) * float(x[k, i])
+        for (g, k), slope in slopes.items():
+            own[g][k] += lmscore.RATE / (1 + seen[g] / lmscore.CALM) * slope / lmscore.SCALE[k > 0]
         start, block = start + block, max(min(2 * block, lmscore.BLOCKS[1]), (start + block) // lmscore.BLOCKS[2])
     return nats
 
