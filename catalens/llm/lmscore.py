@@ -414,7 +414,7 @@ def mix(x: np.ndarray, bits: np.ndarray, gate: np.ndarray, lengths: np.ndarray,
             part *= xs[k]
             odds += part
         spent, error = _cost(odds, bits[at])
-        cost[:active] += np.bincount(who, weights=spent, minlength=active)
+        cost[:active] += np.add.reduceat(spent, np.cumsum(n) - n, dtype=np.float64)
         if going:
             key, error = key[: going * block], error[: going * block]
             rate = RATE / (1 + np.bincount(key, minlength=going * gates) / CALM)
