@@ -41,7 +41,7 @@ COLUMNS = 600
 GAIN = 1e-7
 BUCKETS = 256
 #: Distinct words whose ids a task keeps at a time, and documents that are worked on together.
-KEPT_PARTS, TOGETHER_DOCS = 1 << 19, 3000
+KEPT_PARTS, TOGETHER_DOCS = 1 << 18, 1500
 VOCABULARY = "word_bpe_49k.json"
 
 
