@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RENAME_REASON = "same object kind and schema; review as possible rename"
+RENAME_REASON = "went and came in one schema as the same kind: may be one object under a new name"
 _FACETS = (("column.data_type", "column type changed"), ("column.nullable", "column nullability changed"), ("column.default", "column default changed"), ("constraint", "constraint metadata changed"), ("index", "index metadata changed"), ("table", "table metadata changed"), ("metadata_json", "object metadata changed"))
 
 

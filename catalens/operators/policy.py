@@ -78,4 +78,5 @@ def jdbc_query(schema: str | None, table: str, rule: Rule, most: int, as_text: b
     cols = ", ".join(f"({quoted(c)})::text AS {quoted(c)}" if as_text else quoted(c) for c in rule.columns)
     place = f"{quoted(schema)}.{quoted(table)}" if schema else quoted(table)
     where = f" WHERE {rule.where}" if rule.where else ""
-    return f"SELECT {cols} FROM {place}{where} LIMIT {min(rule.limit or most, most)}"
+    order = f" ORDER BY {', '.join(quoted(c) for c in rule.order)}" if rule.order else ""
+    return f"SELECT {cols} FROM {place}{where}{order} LIMIT {min(rule.limit or most, most)}"

@@ -10,6 +10,8 @@ from catalens.functions import scalars as S
 from catalens.model import SUMMARY, Graph
 
 EXAMPLES, DISTINCT_SHAPES = 5, 50
+#: Characters of a value or shape beyond which its digest stands for it.
+LONG = 64
 MODES = ("schema", "stats", "sample")
 
 
@@ -17,17 +19,20 @@ def profile(rows: DataFrame, columns: list[str] | None = None, temporal: tuple[s
     """(column_name, non_null, nulls, n_distinct, shape, numeric_min, numeric_max, n_shapes, shapes) for each column.
 
     Columns become rows before they are counted, so exact distinct counts for any number of columns cost one partial
-    aggregation by (column, value) and one exchange; values repeat, so little of a table is shuffled.
+    aggregation by (column, value) and one exchange; values repeat, so little of a table is shuffled. Long values and shapes
+    go by their digests, so a column of whole texts costs a digest a row. shapes are the first DISTINCT_SHAPES in order, n_shapes
+    counts them all; no task holds all values or shapes of a column.
     """
     columns = columns or rows.columns
     times = set(temporal) | {c for c, t in rows.dtypes if t.startswith(("timestamp", "date"))}
     texts = {c for c, t in rows.dtypes if t == "string"}
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    values = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    number = S.numeric_value(F.col("value"))
-    known = F.col("value").isNotNull()
-    shape = S.format_shape(F.col("value"))
     text = F.col("column_name").isin(*texts) if texts else F.lit(False)
+    short = lambda c: F.when(F.length(c) > LONG, F.sha2(c, 256)).otherwise(c)
+    values = rows.select(F.explode(pairs).alias("p")).select("p.*")
+    values = values.select("column_name", short(F.col("value")).alias("value"), S.numeric_value(F.col("value")).alias("number"), F.when(text, short(S.format_shape(F.col("value")))).alias("form"))
+    values = values.groupBy("column_name", "value").agg(F.count("*").alias("n"), F.any_value("number").alias("number"), F.any_value("form").alias("form"))
+    number, known = F.col("number"), F.col("value").isNotNull()
     per = values.groupBy("column_name").agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null"),
         F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"),
@@ -35,11 +40,15 @@ def profile(rows: DataFrame, columns: list[str] | None = None, temporal: tuple[s
         F.coalesce(F.bool_and(F.when(known, number.isNotNull())), F.lit(False)).alias("all_numeric"),
         F.min(number).alias("numeric_min"),
         F.max(number).alias("numeric_max"),
-        F.array_sort(F.collect_set(F.when(known & text, shape))).alias("shapes"),
     )
+    forms = values.where("form IS NOT NULL").select("column_name", "form").distinct()
+    n_forms = forms.groupBy("column_name").agg(F.count("*").alias("n_shapes"))
+    first = forms.withColumn("place", F.row_number().over(W.partitionBy("column_name").orderBy("form"))).where(F.col("place") <= DISTINCT_SHAPES)
+    first = first.groupBy("column_name").agg(F.array_sort(F.collect_list("form")).alias("shapes"))
+    per = per.join(n_forms, "column_name", "left").join(first, "column_name", "left")
     when = F.col("column_name").isin(*times) if times else F.lit(False)
     found = F.when(when & (F.col("non_null") > 0), "timestamp").otherwise(S.infer_shape(F.col("non_null"), F.col("n_distinct"), F.col("all_numeric"), text))
-    return per.select("column_name", "non_null", "nulls", "n_distinct", found.alias("shape"), "numeric_min", "numeric_max", F.size("shapes").cast("bigint").alias("n_shapes"), F.slice("shapes", 1, DISTINCT_SHAPES).alias("shapes"))
+    return per.select("column_name", "non_null", "nulls", "n_distinct", found.alias("shape"), "numeric_min", "numeric_max", F.coalesce("n_shapes", F.lit(0)).cast("bigint").alias("n_shapes"), F.coalesce("shapes", F.array().cast("array<string>")).alias("shapes"))
 
 
 def summarize(rows: DataFrame, value: str, order: str, sensitive: bool | Column = False, store_raw: bool = False, strategy: str = "redact", temporal: bool = False, text: bool = True) -> DataFrame:

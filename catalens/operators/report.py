@@ -44,10 +44,8 @@ def sections(found: DataFrame) -> DataFrame:
 
 
 def overview(n: int, score: int, active: bool = False) -> str:
-    word = "active findings" if active else "findings"
-    if not n:
-        return f"No {'active ' if active else ''}risk, quality, or performance findings were detected."
-    return f"{n} {word} detected with risk score {score}."
+    what = "open after suppression" if active else "in all"
+    return f"Findings {what}: {n}; risk score: {score}." if n else f"Findings {what}: none."
 
 
 def load_suppressions(path: str | Path) -> list[dict]:

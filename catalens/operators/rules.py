@@ -120,13 +120,26 @@ def performance_rules(g: Graph, leading_only: bool = False) -> list[DataFrame]:
     return [_found(first, rule, F.col("full_name"), "Statements use the column without an index", _edge_evidence(), F.array("by"), F.col("edge_ord"))]
 
 
+def _runs(name: Column) -> Column:
+    """All names that a dotted name holds as whole words: orders_status_check holds orders, orders_status and so on."""
+
+    def of_part(part: Column) -> Column:
+        words = F.split(part, "_")
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), "_"))))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(name, r"\."), of_part)))
+
+
 def data_rules(g: Graph) -> list[DataFrame]:
     rows = g.column_profiles.where("summary IS NOT NULL").join(g.objects, F.col("object_id") == F.col("id"))
-    bound = g.objects.where(F.col("kind").isin("check_constraint", "enum")).select(F.col("table_name").alias("b_table"), F.col("full_name").alias("b_name"), F.col("constraint.columns").alias("b_columns"))
-    of_table = (F.col("b_table") == F.col("table_name")) | F.contains(F.col("b_name"), F.col("table_name"))
-    covers = of_table & F.coalesce(F.array_contains("b_columns", F.col("column_name")), F.lit(True))
+    bound = g.objects.where(F.col("kind").isin("check_constraint", "enum"))
+    bound = bound.select(F.explode(F.array_union(F.array("table_name"), _runs(F.col("full_name")))).alias("table_name"), F.col("constraint.columns").alias("columns"))
+    # Constraints that name no columns cover all of their table.
+    whole = bound.where("columns IS NULL").select("table_name").distinct()
+    named = bound.select("table_name", F.explode("columns").alias("column_name")).distinct()
     s = "summary."
-    few = rows.where((F.col(s + "inferred_shape") == "enum_like") & (F.col(s + "distinct_count") > 1)).join(bound, covers, "left_anti")
+    few = rows.where((F.col(s + "inferred_shape") == "enum_like") & (F.col(s + "distinct_count") > 1))
+    few = few.join(whole, "table_name", "left_anti").join(named, ["table_name", "column_name"], "left_anti")
     total = F.col(s + "observed_non_null") + F.col(s + "observed_null")
     empty = rows.where((total >= 5) & (F.col(s + "observed_null") * 2 > total) & S.is_important(F.col("column_name")))
     below = rows.where((F.col(s + "inferred_shape") == "numeric") & (F.col(s + "numeric_min") < 0) & S.is_never_negative(F.col("column_name")))

@@ -130,12 +130,12 @@ def impact_risks(g: Graph, name: str) -> DataFrame:
     one = g.objects.where(F.col("id") == target["id"])
     full, short = F.lower("full_name"), F.lower("name")
     notes = [
-        one.where(full.endswith(".tenant_id") | (short == "tenant_id")).select(F.lit("tenant_id changes can affect multi-tenant isolation").alias("message"), F.col("full_name").alias("evidence")),
-        one.where(full.endswith(".status") | (short == "status")).select(F.lit("status changes can affect workflow filters and state machines").alias("message"), F.col("full_name").alias("evidence")),
-        one.where(F.col("kind").isin("unique_constraint", "foreign_key", "primary_key")).select(F.concat("kind", F.lit(" changes can affect relational integrity")).alias("message"), F.col("full_name").alias("evidence")),
+        one.where(full.endswith(".tenant_id") | (short == "tenant_id")).select(F.lit("Rows of one tenant may become visible to others: check every filter on this column").alias("message"), F.col("full_name").alias("evidence")),
+        one.where(full.endswith(".status") | (short == "status")).select(F.lit("Statements that branch on this state may take other paths: check the values they compare").alias("message"), F.col("full_name").alias("evidence")),
+        one.where(F.col("kind").isin("unique_constraint", "foreign_key", "primary_key")).select(F.concat("kind", F.lit(" guards which rows may exist: check for rows that break the new rule")).alias("message"), F.col("full_name").alias("evidence")),
         one.join(g.table_profiles, one["id"] == g.table_profiles["object_id"])
         .where(F.col("row_estimate") > LARGE_TABLE)
-        .select(F.lit("large table changes may be operationally expensive").alias("message"), F.concat("full_name", F.lit(" row estimate "), F.col("row_estimate").cast("string")).alias("evidence")),
+        .select(F.lit("Many rows to rewrite: plan for locks and running time").alias("message"), F.concat("full_name", F.lit(" row estimate "), F.col("row_estimate").cast("string")).alias("evidence")),
     ]
     out = notes[0]
     for n in notes[1:]:

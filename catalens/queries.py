@@ -54,7 +54,7 @@ def catalog_columns(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT 'main.{t}' AS full_name, (SELECT count(*) FROM {t}) AS row_estimate, 'exact' AS row_count_kind, (SELECT count(*) FROM {_INFO} WHERE t = '{t}') AS n_columns" for t in T.TABLES))
 def catalog_tables(spark, sf_dir):
-    g = T.catalog(spark, sf_dir)
+    g = T.catalog(spark, sf_dir, counts=True)
     n = g.edges.where("kind = 'has_column'").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n_columns"))
     return g.objects.join(g.table_profiles, F.col("id") == F.col("object_id")).join(n, "id").select("full_name", "row_estimate", "row_count_kind", "n_columns")
 
@@ -85,16 +85,16 @@ def pii_column_scores(spark, sf_dir):
 
 # Profiles -----------------------------------------------------------------------------------------------------------
 PROFILED = {
-    "orders": ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
-    "lineitem": ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"),
-    "events": ("event_id", "user_id", "event_type", "value", "props"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
-    "documents": ("doc_id", "lang", "source", "n_chars"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
 }
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
-_STRINGS = {"o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props", "c_name", "c_mktsegment", "p_name", "p_brand", "p_type", "lang", "source", "url"}
-_TIMES = {"o_orderdate", "l_shipdate"}
+_STRINGS = {"o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props", "c_name", "c_mktsegment", "p_name", "p_brand", "p_type", "text", "lang", "source", "url"}
+_TIMES = {"o_orderdate", "l_shipdate", "ts"}
 _SHAPED = f"translate({{}}, '{S.LETTERS_DIGITS}', '{S.SHAPES}')"
 
 
@@ -339,7 +339,7 @@ def diff_orders(spark, sf_dir):
     return diff.changes(before, now).select("change", "full_name", text("details").alias("details"))
 
 
-@query("SELECT 'main.nation_' || a.n_nationkey AS from_full_name, 'main.country_' || b.n_nationkey AS to_full_name, 'same object kind and schema; review as possible rename' AS reason FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 7 = 1")
+@query("SELECT 'main.nation_' || a.n_nationkey AS from_full_name, 'main.country_' || b.n_nationkey AS to_full_name, 'went and came in one schema as the same kind: may be one object under a new name' AS reason FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 7 = 1")
 def diff_rename_candidates(spark, sf_dir):
     from catalens.model import OBJECTS
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalens.model import CAPABILITIES, ConfigError, Graph
 from catalens.sources.base import Provider
@@ -38,15 +42,18 @@ class ParquetProvider(Provider):
     def snapshot(self, spark: SparkSession) -> Graph:
         names = self.tables(spark)
         columns, stats = [], []
+        # Each table's schema takes a job of its own: they run side by side.
+        with ThreadPoolExecutor(max(1, min(16, len(names)))) as pool:
+            tables = dict(zip(names, pool.map(lambda t: self.table(spark, SCHEMA, t), names), strict=True))
         for t in names:
-            rows = self.table(spark, SCHEMA, t)
-            for i, f in enumerate(rows.schema.fields):
+            for i, f in enumerate(tables[t].schema.fields):
                 kind = f.dataType.simpleString()
                 keyed = f.name in self.keys.get(t, ())
                 columns.append((SCHEMA, t, f.name, i, kind, spark_family(kind), not keyed, None, None))
-            if self.counts:
-                # Parquet footers hold row counts: nothing else is read.
-                stats.append((SCHEMA, t, rows.count(), "exact", None, "parquet.footer"))
+        if self.counts and names:
+            # Parquet footers hold row counts: nothing else is read, and one job reads them all.
+            counted = [tables[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t in names]
+            stats = [(SCHEMA, r["t"], r["n"], "exact", None, "parquet.footer") for r in reduce(DataFrame.unionByName, counted).collect()]
         nothing = (None,) * 3
         constraints = [(SCHEMA, t, f"{t}_pkey", "p", list(cols), None, None, None, *nothing) for t, cols in self.keys.items() if t in names]
         constraints += [(SCHEMA, t, f"{t}_{'_'.join(own)}_fkey", "f", list(own), SCHEMA, to, list(there), *nothing) for t, own, to, there in self.references if t in names]

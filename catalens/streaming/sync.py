@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ def sync_artifacts(files: DataFrame, store: Store, snapshot_id: str, checkpoint:
         new = artifacts(parse_files(rows, dialect), snapshot_id)
         old = store.artifacts(snapshot_id).join(new.select("fingerprint"), "fingerprint", "left_anti")
         both = new.unionByName(old.select(*new.columns))
-        # Written beside and read back: a partition is never overwritten from itself.
-        beside = f"{store.root}/sql_artifacts_next"
-        both.write.mode("overwrite").parquet(beside)
-        store._replace("sql_artifacts", rows.sparkSession.read.parquet(beside))
+        # Written beside, at a place of this batch's own, and read back: a partition is never overwritten from itself.
+        spark, beside = rows.sparkSession, f"{store.root}/sql_artifacts_next/{uuid.uuid4().hex}"
+        both.write.parquet(beside)
+        store._replace("sql_artifacts", spark.read.parquet(beside))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Graph:
-    return ParquetProvider(sf_dir, TABLES, KEYS, REFERENCES).snapshot(spark)
+def catalog(spark: SparkSession, sf_dir: str, counts: bool = False) -> Graph:
+    return ParquetProvider(sf_dir, TABLES, KEYS, REFERENCES, counts=counts).snapshot(spark)
 
 
 def row_graph(spark: SparkSession, sf_dir: str) -> Graph:

@@ -82,7 +82,7 @@ def test_impact(spark):
     assert ("direct", "public.orders") in items and ("direct", "sql.sql/orders.sql") in items and ("indirect", "public.customers") in items
     assert not any(name == "public.orders.status" for _, name in items)
     assert "public.orders" not in {r["full_name"] for r in traversal.impact(g, "orders").collect()}
-    assert [r["message"] for r in traversal.impact_risks(g, "public.orders.status").collect()] == ["status changes can affect workflow filters and state machines"]
+    assert [r["message"] for r in traversal.impact_risks(g, "public.orders.status").collect()] == ["Statements that branch on this state may take other paths: check the values they compare"]
     with pytest.raises(ConfigError):
         traversal.impact(g, "nothing")
 
@@ -186,10 +186,10 @@ def test_report_gate_and_rendering(spark):
     told = [{"ruleId": "risk.select_star", "object": found.where("rule_id = 'risk.select_star'").first()["object"], "reason": "r", "owner": "o"}]
     rep = report.report(found, suppressions=told, fail_on="high", baseline=found.where("severity = 'high'"), fail_on_new="high")
     assert rep["gate"] == {"failed": True, "failing": 4, "newFailing": 0, "failOn": "high", "failOnNew": "high"}
-    assert rep["riskScore"] == 65 and rep["summary"] == "9 active findings detected with risk score 65."
+    assert rep["riskScore"] == 65 and rep["summary"] == "Findings open after suppression: 9; risk score: 65."
     assert sum(s["n"] for s in rep["sections"]) == 9 and len(rep["suppressedFindings"]) == 1
     assert "Gate: failed" in report.render(rep) and report.render(rep, "markdown").startswith("# Catalog analysis")
-    assert report.report(found.limit(0))["summary"].startswith("No risk")
+    assert report.report(found.limit(0))["summary"] == "Findings in all: none."
 
 
 def test_data_rules(spark):
@@ -211,3 +211,21 @@ def test_data_rules(spark):
 def test_synthetic(spark, tables, columns):
     g = synthetic(spark, tables, columns)
     assert g.objects.count() == tables * (columns + 1) and g.edges.count() == tables * columns
+
+
+def test_a_sample_statement_keeps_its_order():
+    rule = policy.Rule(table="orders", columns=("id", "status"), where="id > 3", limit=5, order=("status", "id"))
+    assert policy.jdbc_query("public", "orders", rule, 10, as_text=False) == 'SELECT "id", "status" FROM "public"."orders" WHERE id > 3 ORDER BY "status", "id" LIMIT 5'
+
+
+def test_constraints_cover_tables_by_whole_words(spark):
+    rows = spark.createDataFrame([("public.orders_status_check",), ("public.reorders",), (None,)], "n string")
+    got = [r[0] for r in rows.select(rules._runs(F.col("n"))).collect()]
+    assert {"orders", "orders_status", "status", "public"} <= set(got[0]) and "orders" not in got[1] and not got[2]
+
+
+def test_profiles_of_many_shapes_stay_bounded(spark):
+    rows = spark.range(400).select(F.concat(F.lit("x" * 3), F.repeat(F.lit("-"), F.col("id").cast("int"))).alias("t"), F.col("id"))
+    got = {r["column_name"]: r for r in profile.profile(rows).collect()}
+    assert (got["t"]["n_distinct"], got["t"]["n_shapes"], len(got["t"]["shapes"])) == (400, 400, profile.DISTINCT_SHAPES)
+    assert (got["id"]["numeric_max"], got["id"]["n_shapes"], got["id"]["shapes"]) == (399.0, 0, [])
