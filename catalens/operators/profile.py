@@ -31,7 +31,8 @@ def profile(rows: DataFrame, columns: list[str] | None = None, temporal: tuple[s
     short = lambda c: F.when(F.length(c) > LONG, F.sha2(c, 256)).otherwise(c)
     values = rows.select(F.explode(pairs).alias("p")).select("p.*")
     values = values.select("column_name", short(F.col("value")).alias("value"), S.numeric_value(F.col("value")).alias("number"), F.when(text, short(S.format_shape(F.col("value")))).alias("form"))
-    values = values.groupBy("column_name", "value").agg(F.count("*").alias("n"), F.any_value("number").alias("number"), F.any_value("form").alias("form"))
+    # Number and form follow from the value; as keys they leave the count to be hashed.
+    values = values.groupBy("column_name", "value", "number", "form").agg(F.count("*").alias("n"))
     number, known = F.col("number"), F.col("value").isNotNull()
     per = values.groupBy("column_name").agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null"),
