@@ -30,9 +30,9 @@ def profile(rows: DataFrame, columns: list[str] | None = None, temporal: tuple[s
     text = F.col("column_name").isin(*texts) if texts else F.lit(False)
     short = lambda c: F.when(F.length(c) > LONG, F.sha2(c, 256)).otherwise(c)
     values = rows.select(F.explode(pairs).alias("p")).select("p.*")
-    values = values.select("column_name", short(F.col("value")).alias("value"), S.numeric_value(F.col("value")).alias("number"), F.when(text, short(S.format_shape(F.col("value")))).alias("form"))
-    # Number and form follow from the value; as keys they leave the count to be hashed.
-    values = values.groupBy("column_name", "value", "number", "form").agg(F.count("*").alias("n"))
+    values = values.select("column_name", short(F.col("value")).alias("value"), S.numeric_value(F.col("value")).alias("number"))
+    # The number follows from the value; as a key it leaves the count to be hashed.
+    values = values.groupBy("column_name", "value", "number").agg(F.count("*").alias("n"))
     number, known = F.col("number"), F.col("value").isNotNull()
     per = values.groupBy("column_name").agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null"),
@@ -42,7 +42,9 @@ def profile(rows: DataFrame, columns: list[str] | None = None, temporal: tuple[s
         F.min(number).alias("numeric_min"),
         F.max(number).alias("numeric_max"),
     )
-    forms = values.where("form IS NOT NULL").select("column_name", "form").distinct()
+    # Of text columns alone, and counted once for both uses.
+    written = F.array(*[F.struct(F.lit(c).alias("column_name"), short(S.format_shape(F.col(c))).alias("form")) for c in columns if c in texts] or [F.struct(F.lit("").alias("column_name"), F.lit(None).cast("string").alias("form"))])
+    forms = rows.select(F.explode(written).alias("p")).select("p.*").where("form IS NOT NULL").distinct()
     n_forms = forms.groupBy("column_name").agg(F.count("*").alias("n_shapes"))
     first = forms.withColumn("place", F.row_number().over(W.partitionBy("column_name").orderBy("form"))).where(F.col("place") <= DISTINCT_SHAPES)
     first = first.groupBy("column_name").agg(F.array_sort(F.collect_list("form")).alias("shapes"))
