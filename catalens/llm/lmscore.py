@@ -21,7 +21,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 
@@ -171,26 +170,36 @@ def _above(level: int):
 
 def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol where its path starts and how long it is; the paths' nodes and bits. One symbol has no decisions."""
-    heap = [(max(1, c), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    n, parent, bit = len(counts), {}, {}
-    top = n
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[1]], bit[a[1]], parent[b[1]], bit[b[1]] = top, 0, top, 1
-        heapq.heappush(heap, (a[0] + b[0], top))
-        top += 1
-    nodes, bits, lengths = [], [], []
-    for s in range(n):
-        path = []
-        while s in parent:
-            path.append((parent[s] - n, bit[s]))
-            s = parent[s]
-        lengths.append(len(path))
-        nodes += [x for x, _ in reversed(path)]
-        bits += [y for _, y in reversed(path)]
-    lengths = np.array(lengths, np.int64)
-    return np.cumsum(lengths) - lengths, lengths, np.array(nodes, np.int64), np.array(bits, np.uint8)
+    n = len(counts)
+    weights = np.zeros(2 * n - 1, np.int64)
+    weights[:n] = np.maximum(1, counts)
+    # Two queues: symbols by weight, and joined nodes, which come by weight. Of equal weights the lower number goes first.
+    order = np.argsort(weights[:n], kind="stable").astype(np.int32)
+    parent, bit, at, joined = np.zeros(2 * n - 1, np.int32), np.zeros(2 * n - 1, np.uint8), 0, n
+    for top in range(n, 2 * n - 1):
+        both = 0
+        for k in (0, 1):
+            if at < n and (joined == top or weights[order[at]] <= weights[joined]):
+                child, at = order[at], at + 1
+            else:
+                child, joined = joined, joined + 1
+            parent[child], bit[child] = top, k
+            both += int(weights[child])
+        weights[top] = both
+    lengths, root = np.zeros(n, np.int64), 2 * n - 2
+    now = np.arange(n, dtype=np.int32)
+    while len(who := np.flatnonzero(now != root)):
+        lengths[who] += 1
+        now[who] = parent[now[who]]
+    start = np.cumsum(lengths) - lengths
+    nodes, bits = np.empty(int(lengths.sum()), np.int64), np.empty(int(lengths.sum()), np.uint8)
+    # All paths at once, from their ends.
+    now, place = np.arange(n, dtype=np.int32), start + lengths
+    while len(who := np.flatnonzero(now != root)):
+        place[who] -= 1
+        nodes[place[who]], bits[place[who]] = parent[now[who]] - n, bit[now[who]]
+        now[who] = parent[now[who]]
+    return start, lengths, nodes, bits
 
 
 class _Tree:

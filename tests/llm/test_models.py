@@ -426,3 +426,33 @@ def test_registered_queries_run_whole(spark):
     assert Q.QUERIES["op8_html_extraction"](spark, small).count() == rows["pages"]
     base = Q.QUERIES["op4_pii_spans"](spark, small).where("n_email + n_ip + n_card + n_phone = 0").first()
     assert base["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_huffman_takes_arrays_alone():
+    """The tree of 2^16 tokens as a heap builds it, without an object for each node and step of a path."""
+    import heapq
+    import tracemalloc
+
+    r = random.Random(3)
+    counts = [int(1e6 / (1 + i)) + r.randrange(3) for i in range(1 << 16)]
+    tracemalloc.start()
+    start, length, nodes, bits = lmscore.huffman(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Paths take 9 bytes a step; what builds them may take as much again.
+    assert peak < 2 * 9 * len(nodes) + (1 << 23)
+    heap, parent, top = [(max(1, c), i) for i, c in enumerate(counts)], {}, len(counts)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        for k in (0, 1):
+            w, i = heapq.heappop(heap)
+            parent[i], w0 = (top, k), w + (w0 if k else 0)
+        heapq.heappush(heap, (w0, top))
+        top += 1
+    for s in r.sample(range(len(counts)), 200):
+        want, at = [], s
+        while at in parent:
+            want.append((parent[at][0] - len(counts), parent[at][1]))
+            at = parent[at][0]
+        a, b = start[s], start[s] + length[s]
+        assert list(zip(nodes[a:b].tolist(), bits[a:b].tolist(), strict=True)) == want[::-1]
