@@ -1,9 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands name candidates, whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash balls and MinHash bands name candidates, whole sets decide.
 
-A document is the set of its word shingles. Sets that agree in all minima of a band meet in a bucket; two sets of
+A document is the set of its word shingles. The SimHash operator goes over all of them: fingerprints of the shingles, ball
+hashing around meeting points, stars in place of pairs. It finds what is within three bits. Sets of similarity 0.8 differ in
+about 10 of 64 bits, half of which is a radius whose balls have 8 million points, so bands find the rest. Sets that agree in all minima of a band meet in a bucket; two sets of
 similarity s share one of the BANDS buckets with probability 1 - (1 - s^DEPTH)^BANDS, 0.99999 at 0.8. Whatever met is
-verified on the whole sets, so no link rests on an estimate. SimHash balls cannot do this: sets of similarity 0.8 differ in
-about 10 of 64 bits, and half of that radius is a ball of 8 million points.
+verified on the whole sets, so no link rests on an estimate.
 
 Members of a bucket are never paired with all others. A few of them are its centres; whoever is of another component than a
 centre is held against it; links are joined into components, the centres leave the bucket, and buckets that still hold two
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm import simhash
 from catalens.llm.components import connected_components
-from catalens.llm.runtime import join_labels, materialise, partitions
+from catalens.llm.runtime import free_shuffles, join_labels, materialise, partitions
 
 #: Words of a shingle, and the least similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
@@ -74,10 +75,12 @@ def _sketches(size: int):
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                found = [shingles(t or b"", size) for t in part.column(2).cast(pa.large_binary()).to_pylist()]
+                texts = part.column(2).cast(pa.large_binary()).to_pylist()
+                found = [shingles(t or b"", size) for t in texts]
                 prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-                cols = [part.column(0), part.column(1), pa.array(prints), pa.array([len(s) for s in found], pa.int64()), pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "fp", "n", "bands"])
+                sims = np.array([simhash.fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)
+                cols = [part.column(0), part.column(1), pa.array(prints), pa.array([len(s) for s in found], pa.int64()), pa.array(sims), pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "fp", "n", "sim", "bands"])
 
     return run
 
@@ -123,27 +126,44 @@ def _centres(live: DataFrame, total: int, most: int, fresh: bool) -> DataFrame:
     return first.select("key", F.col("c.fp").alias("b"), F.col("c.root").alias("rb"), F.col("c.n").alias("nb"))
 
 
+def _within_bits(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prints by the SimHash operator: each with the first one of its fingerprint, and the first ones along its stars."""
+    sims = rows.groupBy("fp").agg(F.min("sim").alias("sim"))
+    firsts = materialise(sims.groupBy("sim").agg(F.min("fp").alias("first")), "fingerprints")
+    own = sims.join(firsts, "sim").where("fp != first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    stars = simhash.links(firsts.select(F.col("sim").alias("fp")))
+    along = stars.join(firsts.toDF("a", "u"), "a").join(firsts.toDF("b", "v"), "b").select("u", "v")
+    return materialise(own.union(along).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "within-bits")
+
+
 def groups(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """(node, root) of the prints of rows (row, fp, n, bands) that are near copies of others. texts has (row, text) of every row."""
-    spark, live = rows.sparkSession, _met(rows)
-    asked = rows.join(live.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row"))
+    """(node, root) of the prints of rows (row, fp, n, sim, bands) that are near copies of others. texts has (row, text) of every row."""
+    spark, within = rows.sparkSession, _within_bits(rows)
+    free_shuffles(spark)
+    live = _met(rows)
+    both = live.select("fp").union(within.select("a")).union(within.select("b")).distinct()
+    asked = rows.join(both, "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row"))
     asked = asked.select("fp", *[F.col(f"row.{k}").alias(k) for k in ("id", "h1", "h2")])
     whole = texts.select(F.col("row.id").alias("tid"), F.col("row.h1").alias("th1"), F.col("row.h2").alias("th2"), "text")
     read = whole.join(asked, F.expr("id <=> tid AND h1 = th1 AND h2 = th2")).select("fp", "text").dropDuplicates(["fp"])
     sets = materialise(read.mapInArrow(_sets(size), "fp bigint, s array<bigint>"), "sets")
+    del asked, both, whole, read
+    free_shuffles(spark)
 
     live, most, named = live.withColumn("root", F.col("fp")), 1, None
     while True:
         # Written, so that the join may split a bucket with a large share of all members.
         centres = materialise(_centres(live, live.count(), most, named is None), "centres")
-        if not centres.count():
+        if named is not None and not centres.count():
             break
         against = live.join(centres, "key").where("root != rb")
         close = F.least("n", "nb") >= similar * F.greatest("n", "nb")
         met = against.where(close).select("fp", "b", "root", "rb")
         if named is None:
-            # Before the exact rounds each member is held against one centre, the first of those it met: large groups join by that.
+            # Before the exact rounds each member is held against what is within bits of it, and against one centre, the first of
+            # those it met: large groups join by that.
             met = met.groupBy("fp").agg(F.min(F.struct(F.xxhash64("b"), "b", "root", "rb")).alias("c")).select("fp", "c.b", "c.root", "c.rb")
+            met = met.union(within.select("a", "b", "a", "b"))
         pairs = met.select("root", "rb", F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
         new = materialise(_verified(pairs.groupBy("a", "b").agg(F.any_value(F.struct("root", "rb")).alias("roots")), sets, similar), "verified")
         # Links join components; later rounds see those alone.
@@ -160,7 +180,8 @@ def groups(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, similar: floa
             named = materialise(before.union(joined.join(named, "node", "left_anti")), "named")
             left, most = left.join(centres.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti"), CENTRES * most
         live = materialise(left, "met")
-    return named if named is not None else spark.createDataFrame([], "node bigint, root bigint")
+        free_shuffles(spark)
+    return named
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -168,7 +189,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     the first row of the component by simhash.row_of()."""
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), simhash.row_of(doc_id, text).alias("row"), F.col(text).cast("string").alias("text"))
     kind = "struct<late:boolean,id:bigint,h1:bigint,h2:bigint>"
-    rows = materialise(plain.mapInArrow(_sketches(size), f"doc_id bigint, row {kind}, fp bigint, n bigint, bands array<bigint>"), "sketches")
+    rows = materialise(plain.mapInArrow(_sketches(size), f"doc_id bigint, row {kind}, fp bigint, n bigint, sim bigint, bands array<bigint>"), "sketches")
     return simhash.components_of(rows.select("doc_id", "row", "fp"), groups(rows, plain.select("row", "text"), size, similar))
 
 

@@ -92,3 +92,15 @@ def test_a_bucket_without_links_is_read_whole(spark):
         seen |= {frozenset((a, b)) for a in done for b in members if a != b}
         live, most = spark.createDataFrame([(7, f, 40, f) for f in members if f not in done], live.schema), 4 * most
     assert len(seen) == 11 * 10 // 2
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """The stage goes through the SimHash operator: its stars name pairs, whole sets decide."""
+    text = prose(8, 400)
+    rows = [(1, text, "a"), (2, f"{text} end", "a"), (3, prose(9, 400), "a")]
+    prints = [nearcopies.simhash.fingerprint(x[1].encode(), 5) for x in rows]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 3 < bin(prints[0] ^ prints[2]).count("1")
+    asked, links = [], nearcopies.simhash.links
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda p: asked.append({r["fp"] % (1 << 64) for r in p.collect()}) or links(p))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()) == [1, 3]
+    assert asked and set(prints[:2]) <= asked[0]
