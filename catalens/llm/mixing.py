@@ -141,11 +141,18 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     at = {c: f"__c{i}" for i, c in enumerate(names)}
-    nth = W.partitionBy("doc_id", "source", "size").orderBy("copies")
-    plan = mix(sized(docs)).select("doc_id", "source", "size", "copies").withColumn("nth", F.row_number().over(nth))
-    keyed = plain.withColumns({"__size": size_of(text_of(at["text"])), "__id": F.col(at["doc_id"]), "__source": F.col(at["source"])})
-    keyed = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(at["text"])))
-    same = keyed["__id"].eqNullSafe(plan["doc_id"]) & keyed["__source"].eqNullSafe(plan["source"]) & (keyed["__size"] == plan["size"]) & (keyed["__nth"] == plan["nth"])
-    taken = keyed.join(plan.where("copies > 0"), same)
-    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    # Equalities of columns without nulls: the window and the join then read one exchange of the texts.
+    keys = lambda doc_id, source, size: {"__late": doc_id.isNull(), "__id": F.coalesce(doc_id, F.lit(0)), "__null": source.isNull(), "__source": F.coalesce(source.cast("string"), F.lit("")), "__size": size}
+    plan = mix(sized(docs))
+    plan = plan.select(*[v.alias(k) for k, v in keys(F.col("doc_id"), F.col("source"), F.col("size")).items()], "copies")
+    cell = plan.columns[:-1]
+    # Of the rows with one identifier, source and size, how many are taken up to 0, 1, ... times: the n-th by text is taken as often
+    # as the n-th by copies.
+    up_to = F.array(*[F.count_if(F.col("copies") <= k) for k in range(MOST)])
+    plan = plan.groupBy(*cell).agg(up_to.alias("__up_to"), F.max("copies").alias("__most")).where("__most > 0")
+    keyed = plain.withColumns(keys(F.col(at["doc_id"]), F.col(at["source"]), size_of(text_of(at["text"]))))
+    keyed = keyed.withColumn("__nth", F.row_number().over(W.partitionBy(*cell).orderBy(at["text"])))
+    taken = keyed.join(plan, cell).withColumn("__copies", F.size(F.filter("__up_to", lambda n: n < F.col("__nth"))))
+    taken = taken.where("__copies > 0")
+    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])

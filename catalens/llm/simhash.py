@@ -141,8 +141,11 @@ def keep_one_of_each(docs: DataFrame, firsts: DataFrame, doc_id: str = "doc_id",
     """
     plain, at = positions(docs)
     key = row_of(at[doc_id], at[text])
-    plain = plain.withColumns({f"__{k}": key[k] for k in ("id", "h1", "h2")})
-    stay = plain.join(firsts.select(*[F.col(k).alias(f"__f{k}") for k in ("id", "h1", "h2")]), F.expr("__id <=> __fid AND __h1 = __fh1 AND __h2 = __fh2"), "left_semi")
+    # Equalities of columns without nulls: the join and the window then read one exchange of the texts.
+    whole = lambda row: {"late": row["late"], "id": F.coalesce(row["id"], F.lit(0)), "h1": row["h1"], "h2": row["h2"]}
+    plain = plain.withColumns({f"__{k}": v for k, v in whole(key).items()})
+    names = [f"__{k}" for k in whole(key)]
+    stay = plain.join(firsts.select(*[v.alias(f"__{k}") for k, v in whole(firsts).items()]), names, "left_semi")
     # Only rows that are copies in identifier and text have company here.
-    same = W.partitionBy("__id", "__h1", "__h2").orderBy(F.xxhash64(*[F.col(c) for c, t in plain.dtypes if not t.startswith("map")]))
+    same = W.partitionBy(*names).orderBy(F.xxhash64(*[F.col(c) for c, t in plain.dtypes if not t.startswith("map")]))
     return named_again(stay.withColumn("__nth", F.row_number().over(same)).where("__nth = 1"), docs.columns)
