@@ -254,3 +254,21 @@ def test_repeat_documents(spark):
         want[x["doc_id"], x["source"], x["size"]] += x["copies"]
     assert got.schema == table.schema
     assert Counter((x["doc_id"], x["source"], len(WORD.findall(x["text"] or ""))) for x in got.collect()) == Counter({k: v for k, v in want.items() if v})
+
+
+def test_texts_move_once(spark):
+    """Between the documents and their copies lies one exchange: the window and the join go by the same columns."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        node = mixing.repeat_documents(docs(spark, [(i, prose(i, 20), "ab"[i % 2]) for i in range(20)]))._jdf.queryExecution().executedPlan()
+        names = []
+        while True:
+            node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+            names.append(node.nodeName())
+            if not node.children().size():
+                break
+            node = node.children().apply(0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in names and "Window" in names and names.count("Exchange") == 1
