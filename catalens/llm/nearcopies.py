@@ -6,11 +6,15 @@ about 10 of 64 bits, half of which is a radius whose balls have 8 million points
 similarity s share one of the BANDS buckets with probability 1 - (1 - s^DEPTH)^BANDS, 0.99999 at 0.8. Whatever met is
 verified on the whole sets, so no link rests on an estimate.
 
-Members of a bucket are never paired with all others. A few of them are its centres; whoever is of another component than a
-centre is held against it; links are joined into components, the centres leave the bucket, and buckets that still hold two
-components go on with twice as many centres. So every pair that met is verified or joined by others after rounds that are
-logarithmic in the largest bucket, and copies of one text, however many, take one round. Sets are read from texts once, for
-documents that met another.
+Members of a bucket are never paired with all others. Each is held against one centre of those it met, and links are joined
+into components. What the bands leave open goes on by rare shingles: with a set's shingles in order of how many sets have them,
+two similar sets share the rarest one that they have in common, and from it on each has at most so many shingles that others
+have too. So a set is in the buckets of its rarest fifth alone, whoever cannot be similar to anything in its bucket by these
+counts leaves it, and near copies of one text that went too far apart are told from the rest without a pair. The centres are
+those whose shingles are the most common: what others were copied from. Whoever is of another component than a centre is held
+against it; the centres leave the bucket, and buckets that still hold two components go on with more centres. So every pair
+that met is verified, ruled out by counts, or joined by others, after rounds that are logarithmic in the largest bucket. Sets
+are read from texts once, for documents that met another.
 
 Defined results: words and null texts are as for SimHash; a text shorter than a shingle is one shingle; texts without words
 are equal; equal sets are one node; a null identifier names a component only where no other is in it; very long texts are
@@ -22,7 +26,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalens.llm import simhash
@@ -37,6 +42,8 @@ SEED = 42
 #: How many times as many centres a bucket has in each round as in the one before, where it has one in the first: the buckets of
 #: a large group then choose few different ones.
 CENTRES = 8
+#: Classes of set sizes in a doubling, for which a bucket's counts are kept.
+CLASSES = 32
 #: Shingles whose minima are taken at a time, and rows that are sent on at a time.
 CHUNK, ROWS = 1 << 12, 500
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
@@ -115,15 +122,45 @@ def _met(rows: DataFrame) -> DataFrame:
 
 def _centres(live: DataFrame, total: int, most: int, fresh: bool) -> DataFrame:
     """(key, b, rb, nb) of each open bucket: up to `most` members outside its largest component, any in fresh buckets, where all
-    are components of their own. Members have an order of their own, so the buckets of one group choose the same ones."""
+    may be a centre. Members have an order of their own, the most common shingles first where live has `common`, so the buckets
+    of one group choose the same ones."""
     outside = live
     if not fresh:
         roots = live.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = roots.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("rows"))
         outside = join_labels(live, main, ["key"], total, "rows").where("root != main")
-    order = F.min(F.struct(F.xxhash64("fp"), "fp", "root", "n"))
+    further = [k for k in ("c",) if k in live.columns]
+    order = F.min(F.struct(*[-F.col(k) for k in ("common",) if k in live.columns], F.xxhash64("fp").alias("h"), "fp", "root", "n", *further))
     first = outside.groupBy("key", F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(most)).alias("slot")).agg(order.alias("c"))
-    return first.select("key", F.col("c.fp").alias("b"), F.col("c.root").alias("rb"), F.col("c.n").alias("nb"))
+    return first.select("key", F.col("c.fp").alias("b"), F.col("c.root").alias("rb"), F.col("c.n").alias("nb"), *[F.col(f"c.{k}").alias(f"{k}b") for k in further])
+
+
+def _rarest(sets: DataFrame, similar: float) -> DataFrame:
+    """(key, fp, n, c, common): the shingles by one of which every similar set meets a set of n. c counts those of its shingles
+    that other sets have too, from the most common one to this; no set whose rarest shingle in common this is shares more.
+    common is the mean logarithm of how many sets have its shingles."""
+    # The count and the rows that it selects read one exchange.
+    items = sets.select("fp", F.size("s").alias("n"), F.explode("s").alias("key")).repartition(partitions(sets.sparkSession), "key")
+    often = items.groupBy("key").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    own = W.partitionBy("fp")
+    common = F.sum(F.log2("df")).over(own) / F.col("n")
+    found = items.join(often, "key").select("key", "fp", "n", F.row_number().over(own.orderBy(F.desc("df"), "key")).alias("c"), common.cast("float").alias("common"))
+    return materialise(found.where(F.col("c") >= similar * F.col("n")), "rarest")
+
+
+def _may_link(n: Column, c: Column, other_n: Column, other_c: Column, similar: float) -> Column:
+    """Whether sets of these sizes can be similar, if they share no more than the lesser of the counts."""
+    return F.least(c, other_c) >= similar * (n + other_n - F.least(c, other_c))
+
+
+def _open(live: DataFrame, total: int, similar: float) -> DataFrame:
+    """The rows of buckets with two components that may link with something in the bucket, by the largest count of each class of sizes."""
+    classes = live.groupBy("key", F.floor(CLASSES * F.log2("n")).alias("class")).agg(
+        F.max("c").alias("c"), F.min("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")
+    )
+    keys = classes.groupBy("key").agg(F.collect_list(F.struct("n", "c")).alias("classes"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
+    both = join_labels(live, keys.where("low != high").drop("low", "high"), ["key"], total, "rows")
+    return both.where(F.exists("classes", lambda x: _may_link(F.col("n"), F.col("c"), x["n"], x["c"], similar))).drop("classes", "rows")
 
 
 def _within_bits(rows: DataFrame) -> DataFrame:
@@ -150,38 +187,36 @@ def groups(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, similar: floa
     del asked, both, whole, read
     free_shuffles(spark)
 
-    live, most, named = live.withColumn("root", F.col("fp")), 1, None
+    # Each member is held against what is within bits of it, and against one centre, the first of those it met: large groups join by that.
+    live = live.withColumn("root", F.col("fp"))
+    against = live.join(materialise(_centres(live, live.count(), 1, True), "centres"), "key").where("root != rb")
+    met = against.where(F.least("n", "nb") >= similar * F.greatest("n", "nb")).groupBy("fp").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b"))["b"].alias("b"))
+    pairs = met.union(within).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    named = connected_components(materialise(_verified(pairs, sets, similar), "verified").select("a", "b"))
+    del live, against, met, pairs
+    free_shuffles(spark)
+
+    live, most = _rarest(sets, similar), 1
+    live = materialise(live.join(named.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "met")
     while True:
+        live = materialise(_open(live, live.count(), similar), "open")
         # Written, so that the join may split a bucket with a large share of all members.
-        centres = materialise(_centres(live, live.count(), most, named is None), "centres")
-        if named is not None and not centres.count():
-            break
-        against = live.join(centres, "key").where("root != rb")
-        close = F.least("n", "nb") >= similar * F.greatest("n", "nb")
-        met = against.where(close).select("fp", "b", "root", "rb")
-        if named is None:
-            # Before the exact rounds each member is held against what is within bits of it, and against one centre, the first of
-            # those it met: large groups join by that.
-            met = met.groupBy("fp").agg(F.min(F.struct(F.xxhash64("b"), "b", "root", "rb")).alias("c")).select("fp", "c.b", "c.root", "c.rb")
-            met = met.union(within.select("a", "b", "a", "b"))
-        pairs = met.select("root", "rb", F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
+        centres = materialise(_centres(live, live.count(), most, most == 1), "centres")
+        if not centres.count():
+            return named
+        against = live.join(centres, "key").where("root != rb").where(_may_link(F.col("n"), F.col("c"), F.col("nb"), F.col("cb"), similar))
+        pairs = against.select("root", "rb", F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
         new = materialise(_verified(pairs.groupBy("a", "b").agg(F.any_value(F.struct("root", "rb")).alias("roots")), sets, similar), "verified")
         # Links join components; later rounds see those alone.
         joined = connected_components(new.select(F.col("roots.root").alias("a"), F.col("roots.rb").alias("b")))
         over = joined.toDF("root", "new")
-        now = live.join(over, "root", "left").select("key", "fp", "n", F.coalesce("new", "root").alias("root"))
-        going = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        left = now.join(going, "key", "left_semi")
-        # The members of buckets that are still open, less the centres that all others were held against.
-        if named is None:
-            named = joined
-        else:
-            before = named.join(over, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            named = materialise(before.union(joined.join(named, "node", "left_anti")), "named")
-            left, most = left.join(centres.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti"), CENTRES * most
-        live = materialise(left, "met")
+        before = named.join(over, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        named = materialise(before.union(joined.join(named, "node", "left_anti")), "named")
+        # The members of open buckets, less the centres that all others were held against.
+        left = live.join(centres.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti")
+        left = left.join(over, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        live, most = materialise(left, "met"), CENTRES * most
         free_shuffles(spark)
-    return named
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:

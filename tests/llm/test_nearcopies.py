@@ -104,3 +104,40 @@ def test_near_dedup_links_by_simhash(spark, monkeypatch):
     monkeypatch.setattr(nearcopies.simhash, "links", lambda p: asked.append({r["fp"] % (1 << 64) for r in p.collect()}) or links(p))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()) == [1, 3]
     assert asked and set(prints[:2]) <= asked[0]
+
+
+def test_variants_beyond_the_threshold_take_no_pair_of_each_two(spark, monkeypatch):
+    """Texts changed in 0 to 9 places: those with few changes are one group, the others meet everything in bands and link with little."""
+    r, base, rows = random.Random(4), prose(6, 140, 10_000).split(), []
+    for i in range(160):
+        words = list(base)
+        for at in r.sample(range(140), i % 10):
+            words[at] = f"changed{r.randrange(10**6)}"
+        rows.append((i, " ".join(words), "a"))
+    counted, verified = [], nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, *a: counted.append(pairs.count()) or verified(pairs, *a))
+    got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(docs(spark, rows)).collect()}
+    roots = brute_groups(rows)
+    assert got == {i: min(j for j in range(160) if roots[j] == roots[i]) for i in range(160)}
+    assert 60 < len(set(got.values())) < 130
+    # Of the 12,720 pairs most meet; a few for each text are looked at.
+    assert sum(counted) < 4 * len(rows)
+
+
+def test_rarest_shingles_lose_no_similar_pair(spark):
+    """Sets of many sizes around shared blocks: each two similar ones meet in a bucket that neither has to leave."""
+    r = random.Random(9)
+    blocks = [[r.randrange(10**9) for _ in range(30)] for _ in range(4)]
+    sets = {}
+    for i in range(120):
+        whole = [x for b in r.sample(blocks, r.randrange(1, 4)) for x in b if r.random() < 0.93]
+        sets[i] = sorted({*whole, *(r.randrange(10**9) for _ in range(r.randrange(4)))})
+    similar = {(i, j) for i in sets for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    table = spark.createDataFrame([*sets.items()], "fp bigint, s array<bigint>")
+    live = nearcopies._rarest(table, 0.8).withColumn("root", nearcopies.F.col("fp"))
+    left = nearcopies._open(live, live.count(), 0.8)
+    members = {}
+    for x in left.collect():
+        members.setdefault(x["key"], {})[x["fp"]] = (x["n"], x["c"])
+    meet = {(i, j) for m in members.values() for i in m for j in m if j < i and (o := min(m[i][1], m[j][1])) >= 0.8 * (m[i][0] + m[j][0] - o)}
+    assert len(similar) > 100 and similar <= meet
